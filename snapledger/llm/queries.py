@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from snapledger.llm import mixing
+from snapledger.llm import mixing, order_minhash
 
 QUERIES = {
     "op6_source_mixing": mixing.op6,
+    "op7_order_minhash": order_minhash.op7,
 }
 
 SQL = {
