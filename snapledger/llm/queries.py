@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from snapledger.llm import mixing, order_minhash, toxicity
+from snapledger.llm import langid, mixing, order_minhash, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1,
     "op3_toxicity": toxicity.op3,
     "op6_source_mixing": mixing.op6,
     "op7_order_minhash": order_minhash.op7,
