@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from snapledger.llm import langid, mixing, order_minhash, toxicity
+from snapledger.llm import langid, mixing, order_minhash, quality, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op3_toxicity": toxicity.op3,
     "op6_source_mixing": mixing.op6,
     "op7_order_minhash": order_minhash.op7,
+    "op10_quality": quality.op10,
 }
 
 SQL = {
