@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from snapledger.llm import langid, linededup, mixing, order_minhash, quality, toxicity
+from snapledger.llm import bpe, langid, linededup, mixing, order_minhash, quality, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op3_toxicity": toxicity.op3,
     "op4_line_dedup": linededup.op4,
+    "op5_byte_bpe": bpe.op5,
     "op6_source_mixing": mixing.op6,
     "op7_order_minhash": order_minhash.op7,
     "op10_quality": quality.op10,
