@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from snapledger.llm import bpe, htmltext, langid, linededup, mixing, order_minhash, quality, toxicity
+from snapledger.llm import ann, bpe, htmltext, langid, linededup, mixing, order_minhash, quality, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5,
     "op6_source_mixing": mixing.op6,
     "op7_order_minhash": order_minhash.op7,
+    "op8_nearest_neighbours": ann.op8,
     "op9_html_text": htmltext.op9,
     "op10_quality": quality.op10,
 }
