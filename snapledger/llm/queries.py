@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from snapledger.llm import ann, bpe, htmltext, langid, linededup, mixing, order_minhash, quality, toxicity
+from snapledger.llm import ann, bpe, htmltext, jaccard, langid, linededup, mixing, order_minhash, quality, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
+    "op2_jaccard_join": jaccard.op2,
     "op3_toxicity": toxicity.op3,
     "op4_line_dedup": linededup.op4,
     "op5_byte_bpe": bpe.op5,
