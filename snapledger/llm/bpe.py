@@ -2,7 +2,7 @@
 
 Encoding goes in blocks of consecutive documents. Texts are split into pre-tokens, each
 position keeping the number of its word among the block's distinct words; the blocks are
-written once. The words are dealt over buckets by hash, a block's words of a bucket as one
+shuffled once. The words are dealt over buckets by hash, a block's words of a bucket as one
 compressed row, and every bucket encodes each distinct word once, whatever number of
 blocks it came from; the ids go back to the blocks in the same rows and each document is
 put together by position. So a word crosses the network once for each block that has it,
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import cut, table
+from snapledger.llm.common import table
 
 #: Bytes of text in a block, and the most buckets.
 BLOCK_BYTES, MOST_BUCKETS = 16 << 20, 4096
@@ -175,12 +175,13 @@ def _gather(values: np.ndarray, off: np.ndarray, length: np.ndarray, which: np.n
     return values[np.repeat(off[which] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
-def _assemble(buckets: int, part: int = 1 << 18):
+def _assemble(buckets: int, part: int = 1 << 17):
     """Documents' ids from the blocks and their words' ids; ``part`` positions at a time."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 data, length = _unpack(row["data"], np.uint8), _unpack(row["lengths"], np.int64)
                 order = np.argsort(_bucket(data, length, buckets), kind="stable")
                 found = sorted(row["found"] or [], key=lambda x: x["bucket"])
@@ -213,11 +214,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     """(doc_id, n_tokens, ids) for each row of ``docs`` (doc_id, text). Without ``ranks`` and ``pattern``: the public 50k vocabulary."""
     if ranks is None or pattern is None:
         ranks, pattern = public_vocabulary()
-    context = docs.sparkSession.sparkContext
-    blocks = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(*_split(pattern)))
-    buckets = max(16, min(MOST_BUCKETS, blocks.count()))
-    words = blocks.select("block", "data", "lengths").mapInArrow(*_deal(buckets)).repartition(buckets, "bucket")
-    found = words.mapInArrow(*_encode(context.broadcast((ranks, pattern))))
+    spark = docs.sparkSession
+    buckets = max(16, min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # both uses below read this one exchange: its rows go to either as they are, all columns
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(*_split(pattern)).repartition(buckets, "block")
+    words = blocks.mapInArrow(*_deal(buckets)).repartition(buckets, "bucket")
+    found = words.mapInArrow(*_encode(spark.sparkContext.broadcast((ranks, pattern)))).repartition(buckets, "block")
     found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "tokens")).alias("found"))
     return blocks.join(found.hint("merge"), "block", "left").mapInArrow(*_assemble(buckets))
 
@@ -236,13 +238,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFra
     def run(batches):
         data, length = held.value
         first = np.concatenate(([0], np.cumsum(length)[:-1]))
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            out = []
-            for raw in ids:
-                which = np.minimum(np.frombuffer(raw or b"", "<u4"), len(length) - 1).astype(np.int64)
-                out.append(_gather(data, first, length, which)[0].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(k, 256), []
+                for raw in batch.column("ids"):
+                    which = np.minimum(np.frombuffer(raw.as_py() or b"", "<u4"), len(length) - 1).astype(np.int64)
+                    out.append(_gather(data, first, length, which)[0].tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
