@@ -1,0 +1,278 @@
+"""Operators against plain versions on small frames, with odd rows throughout."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from snapledger.llm import ann, bpe, htmltext, jaccard, langid, linededup, mixing, order_minhash, quality, toxicity
+from snapledger.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, lines_total string, mix_size string"
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def docs(spark, texts, langs=None, sources=None):
+    """Rows with columns whose names clash with those the operators add."""
+    rows = [(i, t, (langs or ["en"])[i % len(langs or ["en"])], (sources or ["a", "b", None])[i % len(sources or ["a", "b", None])], None, "x", "y", "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def odd(rng):
+    same = prose(rng, 30)
+    return [None, "", " \n ", "a", same, same, prose(rng, 20_000), "é漢 🙂\x00 \x85", "A b c d e f", "a B c d e f", "x\n" * 50]
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(1)
+    d = docs(spark, odd(rng) + [prose(rng, rng.randint(1, 60)) for _ in range(400)])
+    out = mixing.mix(d).toPandas()
+    assert len(out) == 411 and set(out["mix_copies"]) <= {0, 1, 2}
+    total = sum(len((t or "").split()) for t in out["text"] if t is None or "\x85" not in t)
+    assert abs(out.drop_duplicates("target")["target"].sum() - 1.5 * out.drop_duplicates("source_size")["source_size"].sum()) < 1e-6 * total
+    for _, g in out.groupby("target"):
+        assert g["target"].iloc[0] <= 2 * g["source_size"].iloc[0] + 1e-9
+        assert abs((g["mix_size"] * g["mix_copies"]).sum() - g["target"].iloc[0]) <= g["mix_size"].max()
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
+def test_water_filling_caps(spark):
+    t = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 1000), ("1", 0)], "key string, source_size long")
+    got = {r["key"]: r["target"] for r in mixing.targets(t).collect()}
+    assert got["0a"] == 20 and got["1"] == 0 and abs(sum(got.values()) - 3015) < 1e-9
+    assert abs(got["0c"] / got["0b"] - 2.0) < 1e-9 or max(got["0b"], got["0c"]) == 2000
+
+
+def test_order_minhash(spark):
+    rng = random.Random(2)
+    texts = odd(rng) + [prose(rng, 80) for _ in range(60)]
+    d = docs(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = order_minhash.with_next(order_minhash.sketches(d, "text", "sketch"), rows=7).withColumn("near", order_minhash.likeness(F.col("sketch"), F.col("next_sketch"))).toPandas().set_index("doc_id")
+    n = len(texts)
+    for i, t in enumerate(texts):
+        assert out["next_text"][i] == (texts[i - 1] if i else texts[n - 1]) or (texts[i - 1] is None and out["next_text"][i] == "")
+    assert list(out["sketch"][4]) == list(out["sketch"][5]) and out["near"][5] == 1.0 and list(out["sketch"][1]) == []
+    # order counts: the same words the other way round have another fingerprint
+    a, b = prose(rng, 60), None
+    b = " ".join(reversed(a.split()))
+    two = order_minhash.sketches(docs(spark, [a, b, a + " end"]).select("doc_id", "text"), "text", "s").orderBy("doc_id").select("s").collect()
+    assert not set(two[0]["s"]) & set(two[1]["s"]) and len(set(two[0]["s"]) & set(two[2]["s"])) > 20
+    assert order_minhash.with_next(order_minhash.sketches(d.limit(0), "text", "sketch")).count() == 0
+
+
+def plain_classes(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def test_jaccard_equals_all_pairs(spark):
+    rng = random.Random(3)
+    texts = odd(rng)
+    shared = prose(rng, 60)
+    for _ in range(40):
+        base = prose(rng, rng.choice([4, 5, 8, 12, 30, 70, 200])).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            texts.append(" ".join(copy))
+        texts.append(shared + " " + prose(rng, rng.randint(1, 30)))
+    out = jaccard.classes(docs(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    assert list(zip(out["n_shingles"], out["component_id"], strict=True)) == plain_classes(texts)
+    kept = jaccard.representatives(docs(spark, texts)).toPandas()
+    assert sorted(kept["doc_id"]) == sorted(i for i, (n, c) in enumerate(plain_classes(texts)) if n == 0 or c == i)
+    assert jaccard.classes(docs(spark, []).limit(0)).count() == 0
+
+
+def test_components_of_chains(spark):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (300, 100), (7, 7)]
+    rng.shuffle(links)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_bpe_equals_library(spark):
+    import tiktoken
+
+    ranks, pattern = bpe.public_vocabulary()
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    alphabet = "a b'sZ\t\n\x0b\x1c\x85\xa0 é漢🙂١½_-!?\r\x00 ́  're'll"
+    texts = odd(rng) + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["a" * 50_000, " " * 3000]
+    out = bpe.decode(bpe.encode(docs(spark, texts))).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        assert np.frombuffer(out["ids"][i], "<u4").tolist() == plain.encode_ordinary(t or "") and out["decoded"][i] == (t or "").encode()
+    assert bpe.encode(docs(spark, []).limit(0)).count() == 0
+
+
+def test_repeated_passages_go_once(spark):
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    several = "\n".join(prose(rng, 12) for _ in range(8))
+    texts = odd(rng) + [f"{prose(rng, 30)}\n{passage}\n{prose(rng, 30)}" for _ in range(20)] + [f"{prose(rng, 30)}\n{several}\n{prose(rng, 9)}" for _ in range(10)] + [prose(rng, 40) + "\n" + prose(rng, 55) for _ in range(30)]
+    out = linededup.dedup(docs(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    after = [out["text"][i] or "" for i in range(len(texts))]
+    assert sum(passage in t for t in after) == 1 and passage in after[11]
+    middle = several.split("\n")[2:-2]
+    assert all(sum(line in t for t in after[31:41]) <= 2 or not any(several in t for t in after[32:41]) for line in middle)
+    assert all(after[i] == texts[i] for i in range(41, 71)), "documents without repeats stay as they are"
+    assert out["text"][0] is None and after[1] == "" and after[2] == texts[2]
+    for i, t in enumerate(texts):
+        lines = collections.Counter((t or "").split("\n"))
+        assert not collections.Counter(after[i].split("\n")) - lines or after[i] == ""
+    assert linededup.dedup(docs(spark, []).limit(0)).count() == 0
+
+
+def test_same_hash_different_text(spark, monkeypatch):
+    monkeypatch.setattr(linededup.tb, "span_hashes", linededup.tb.span_hashes)
+    data = "\n".join(["a b c", "d e f"]).encode()
+    row, line, lines, h, start, end = linededup.chunks(np.frombuffer(data, np.uint8), np.array([0, len(data)]), long_words=2)
+    assert list(lines) == [1, 1] and h[0] != h[1] and [data[a:b] for a, b in zip(start, end, strict=True)] == [b"a b c", b"d e f"]
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_toxicity_learns_words(spark):
+    rng = random.Random(7)
+    texts, marks = odd(rng), []
+    bad = ["vileword", "nastyword", "uglyword"]
+    for i in range(len(texts), 1500):
+        toxic = rng.random() < 0.3
+        words = prose(rng, 40).split()
+        for _ in range(3 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        texts.append(" ".join(words))
+        marks.append((i, int(toxic)))
+    labels = spark.createDataFrame([*marks, (None, 1), (0, None)], "doc_id long, toxic int")
+    d = docs(spark, texts)
+    out = toxicity.score(d, toxicity.fit(d, labels)).toPandas().set_index("doc_id")
+    assert out["toxicity"].between(0, 1).all() and len(out) == 1500
+    right = [(out["toxicity"][i] >= 0.3) == y for i, y in marks if held(i)]
+    assert np.mean(right) > 0.97
+    one = labels.filter("toxic = 0")
+    assert toxicity.score(d, toxicity.fit(d, one)).filter("toxicity <> 0").count() == 0
+    assert toxicity.score(d.limit(0), toxicity.fit(d.limit(0), labels.limit(0))).count() == 0
+
+
+def test_quality_learns_shape(spark):
+    rng = random.Random(8)
+    texts, marks = odd(rng), []
+    for i in range(len(texts), 900):
+        good = rng.random() < 0.7
+        t = prose(rng, 50)
+        texts.append(t.capitalize() + "." if good else " ".join(w.upper() + "!!" for w in t.split()))
+        marks.append((i, int(good)))
+    labels = spark.createDataFrame([*marks, (None, 1), (0, None)], "doc_id long, quality int")
+    d = docs(spark, texts)
+    out = quality.score(d, quality.learn(d, labels)).toPandas().set_index("doc_id")
+    assert np.mean([(out["quality_score"][i] >= 0.7) == y for i, y in marks if held(i)]) > 0.97
+    assert quality.score(d.limit(0), quality.learn(d.limit(0), labels.limit(0))).count() == 0
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(1)
+    m = quality.Machine(3)
+    m.w = rng.normal(size=m.w.shape)
+    stats, column, value = rng.normal(size=(1, 3)), np.array([5, 9, 77]), np.array([0.2, 0.5, 0.1])
+    x = np.zeros(m.columns)
+    x[:3], x[column + 3] = np.clip(stats[0], -4, 4) / 2, value
+    on = np.flatnonzero(x)
+    pairs = sum(m.v[i] @ m.v[j] * x[i] * x[j] for a, i in enumerate(on) for j in on[a + 1 :])
+    assert abs(m.raw(stats, np.array([0, 3]), column, value)[0][0] - (m.w[-1] + m.w[:-1] @ x + pairs)) < 1e-9
+
+
+def test_languages(spark):
+    rng = random.Random(9)
+    syllables = {"xx": ["ka", "lo", "mi"], "yy": ["zu", "ré", "ñi"], "zz": ["тэ", "во", "ли"]}
+    texts, langs = [], []
+    for i in range(600):
+        lang = rng.choice(list(syllables))
+        texts.append(" ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(20)))
+        langs.append(lang)
+    rows = [(i, t, k) for i, (t, k) in enumerate(zip(texts, langs, strict=True))] + [(1000 + i, t, None) for i, t in enumerate(odd(rng))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(d.withColumn("lang_pred", F.lit(1)), langid.learn(d)).toPandas().set_index("doc_id")
+    assert all(out["lang_pred"][i] == k for i, k in enumerate(langs))
+    assert [out["lang_pred"][1000 + i] for i in range(3)] == ["und"] * 3 and out["lang_score"].between(0, 1).all()
+    assert set(langid.identify(d, langid.learn(d.limit(0))).toPandas()["lang_pred"]) == {"und"}
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[50:120] = x[50]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0]), (None, [1.0] * 16), (60, rows[60][1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
+    got = ann.nearest(v, F.col("vec_id") % 50 == 0).toPandas()
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert list(g.sort_values("rank")["vec_id"]) == list(np.lexsort((np.arange(400), d))[:10])
+    assert sorted(got["query_id"].unique()) == list(range(0, 400, 50))
+    assert ann.nearest(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert ann.nearest(v.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a&amp;b<br>c", "a&b c"), ("<", "<"), ("<div>" * 3000 + "x", "x"), ("<script>var a='<p>';</script><p>y", "y"),
+    ("<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><div class='ad'>Buy this now, it is very good</div><article><h1>T</h1><p>One  two\nthree four.<p>Five &lt;six&gt; seven.</article><aside><p>More reading for you in here</aside><div id=comments><p>I like it, first comment</div><form><p>Mail me</form><footer>c</footer>", "T\nOne two three four.\nFive <six> seven."),
+])
+def test_main_text(page, want):
+    assert htmltext.main_text(page) == want
+
+
+def test_extract_keeps_rows(spark):
+    d = spark.createDataFrame([(1, None, "u", "k"), (2, "<p>x", None, "k"), (2, "<p>x", None, "k")], "page_id long, html string, url string, main_text string")
+    assert [(r["page_id"], r["main_text"]) for r in htmltext.extract(d).orderBy("page_id").collect()] == [(1, ""), (2, "x"), (2, "x")]
+    assert htmltext.extract(d.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    want, n = d.columns, d.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, sf_dir).cache()
+        assert d.columns == want, name
+        assert 0 < d.count() <= 2 * n
+    texts = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    last = corpus_pipeline.STAGES[-1][1](spark, d, sf_dir)
+    decoded = bpe.decode(last).collect()
+    assert len(decoded) == d.count() and all(r["decoded"] == texts[r["doc_id"]].encode() for r in decoded)
+
+
+def test_same_results_again(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    digest = lambda df: hashlib.sha256(repr(sorted(map(tuple, df.collect()))).encode()).hexdigest()
+    a, b = (mixing.mix(x).select("doc_id", "mix_copies") for x in (d, d.repartition(7)))
+    assert digest(a) == digest(b)
