@@ -13,14 +13,14 @@ def severity(checks: DataFrame, by: str = "host") -> DataFrame:
     return checks.groupBy(by).agg(F.max("status").cast("long").alias("worst"), F.count_if(F.col("status") > 0).alias("n_bad"), name.alias("overall"))
 
 
-def roll_up(sync: Column, rtb: Column, failed: Column) -> tuple[Column, Column]:
+def roll_up(sync: Column, job: Column, failed: Column) -> tuple[Column, Column]:
     """Overall status and exit code from the sync check's code, the snapshot job's state and the number of failed services.
 
     Critical beats all; a running job shows as RUNNING over a warning, whose exit code
     stays; a failed service turns what is not critical into a warning.
     """
-    critical = (sync == 2) | (rtb == "failed")
-    status = F.when(critical, "CRITICAL").when(failed > 0, "WARNING").when(rtb == "running", "RUNNING").when(sync == 1, "WARNING").otherwise("OK")
+    critical = (sync == 2) | (job == "failed")
+    status = F.when(critical, "CRITICAL").when(failed > 0, "WARNING").when(job == "running", "RUNNING").when(sync == 1, "WARNING").otherwise("OK")
     code = F.when(critical, 2).when((failed > 0) | (sync == 1), 1).otherwise(0)
     return status, code
 

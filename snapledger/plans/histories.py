@@ -121,13 +121,13 @@ def _(x):
 
 @query(
     "R09_roll_up",
-    """, c AS (SELECT run_id, run_id % 3 AS sync, CASE run_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'ok' END AS rtb, run_id % 5 // 4 AS failed FROM backup_run)
-SELECT run_id, CASE WHEN sync = 2 OR rtb = 'failed' THEN 'CRITICAL' WHEN failed > 0 THEN 'WARNING' WHEN rtb = 'running' THEN 'RUNNING' WHEN sync = 1 THEN 'WARNING' ELSE 'OK' END AS status, CASE WHEN sync = 2 OR rtb = 'failed' THEN 2 WHEN failed > 0 OR sync = 1 THEN 1 ELSE 0 END AS code FROM c""",
+    """, c AS (SELECT run_id, run_id % 3 AS sync, CASE run_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'ok' END AS job, run_id % 5 // 4 AS failed FROM backup_run)
+SELECT run_id, CASE WHEN sync = 2 OR job = 'failed' THEN 'CRITICAL' WHEN failed > 0 THEN 'WARNING' WHEN job = 'running' THEN 'RUNNING' WHEN sync = 1 THEN 'WARNING' ELSE 'OK' END AS status, CASE WHEN sync = 2 OR job = 'failed' THEN 2 WHEN failed > 0 OR sync = 1 THEN 1 ELSE 0 END AS code FROM c""",
 )
 def _(x):
     r = F.col("run_id")
-    rtb = F.when(r % 4 == 0, "failed").when(r % 4 == 1, "running").otherwise("ok")
-    s, c = status.roll_up(r % 3, rtb, F.floor(r % 5 / 4))
+    job = F.when(r % 4 == 0, "failed").when(r % 4 == 1, "running").otherwise("ok")
+    s, c = status.roll_up(r % 3, job, F.floor(r % 5 / 4))
     return x.runs.select("run_id", s.alias("status"), c.alias("code"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 INODE = "STRUCT<dev: BIGINT, ino: BIGINT, nlink: INT>"
 ITEM = f"type STRING, relpath STRING, size BIGINT, mtime DOUBLE, source_path STRING, ext STRING, inode {INODE}, sha256 STRING, hardlink_of STRING, hardlink_master BOOLEAN, lmode STRING, target STRING, target_error STRING"
 MANIFEST = f"schema INT, snapshot STRING, root STRING, created BIGINT, hash STRING, mode STRING, ref_snapshot STRING, ref_manifest STRUCT<path: STRING, snapshot: STRING, loaded_at: BIGINT>, items ARRAY<STRUCT<{', '.join(x.strip().replace(' ', ': ', 1) for x in ITEM.replace(INODE, '@').split(','))}>>".replace("@", INODE)
-NODE = "anchor_path STRING, anchor_snapshot STRING, fileid STRING, pcloud_hash STRING, remote_hash STRING, size BIGINT, ext STRING, holders ARRAY<STRING>"
+NODE = "anchor_path STRING, anchor_snapshot STRING, fileid STRING, {hash_field} STRING, size BIGINT, ext STRING, holders ARRAY<STRING>"
 HOLDER = f"snapshot STRING, relpath STRING, size BIGINT, mtime DOUBLE, inode {INODE}, ext STRING"
 STUB = f"type STRING, sha256 STRING, size BIGINT, mtime DOUBLE, inode {INODE}, anchor_path STRING, fileid BIGINT, snapshot STRING, relpath STRING, format_version INT, kind STRING, holder_type STRING, mtime_iso STRING, object_path STRING"
 LOG = "timestamp STRING, level STRING, message STRING, run_id STRING"
@@ -26,18 +26,19 @@ def manifest_items(headers: DataFrame) -> DataFrame:
     return headers.select(F.col("file_snapshot").alias("snapshot"), F.posexplode("items").alias("ord", "i")).select("snapshot", F.col("ord").cast("long").alias("ord"), "i.*")
 
 
-def index_nodes(documents: DataFrame, column: str = "value") -> DataFrame:
+def index_nodes(documents: DataFrame, column: str = "value", hash_field: str = "remote_hash") -> DataFrame:
     """Nodes of index documents given as text, parsed in two stages so that one bad node costs itself only.
 
-    ``node_kind`` is dict or other; ``holders`` keeps each holder's own text. A document
+    ``node_kind`` is dict or other; ``holders`` keeps each holder's own text; ``hash_field``
+    names the field with the stored object's hash. A document
     that is no index gives nothing.
     """
     node = F.explode(F.from_json(F.col(column), "version INT, items MAP<STRING, STRING>")["items"]).alias("sha256", "node")
     t = documents.select(node)
     kind = F.when(F.startswith(F.ltrim("node"), F.lit("{")), "dict").otherwise("other")
-    t = t.select(F.lower("sha256").alias("sha256"), kind.alias("node_kind"), F.when(kind == "dict", F.from_json("node", NODE)).alias("n"))
+    t = t.select(F.lower("sha256").alias("sha256"), kind.alias("node_kind"), F.when(kind == "dict", F.from_json("node", NODE.format(hash_field=hash_field))).alias("n"))
     fileid = F.regexp_replace("n.fileid", "^f+", "").try_cast("bigint")
-    return t.select("sha256", "node_kind", "n.anchor_path", "n.anchor_snapshot", F.when(fileid != 0, fileid).alias("fileid"), F.coalesce("n.remote_hash", "n.pcloud_hash").alias("remote_hash"), "n.size", "n.ext", "n.holders")
+    return t.select("sha256", "node_kind", "n.anchor_path", "n.anchor_snapshot", F.when(fileid != 0, fileid).alias("fileid"), F.col(f"n.{hash_field}").alias("remote_hash"), "n.size", "n.ext", "n.holders")
 
 
 def index_holders(nodes: DataFrame) -> DataFrame:

@@ -147,10 +147,10 @@ def test_enrich_prefers_anchor_then_first_holder(spark):
 
 def test_roll_up_all_cases(spark):
     cases = list(itertools.product((0, 1, 2), ("ok", "running", "failed"), (0, 1)))
-    s, c = status.roll_up(F.col("sync"), F.col("rtb"), F.col("failed"))
-    for r in spark.createDataFrame(cases, "sync int, rtb string, failed int").select("*", s.alias("s"), c.alias("c")).collect():
-        worst = r.sync == 2 or r.rtb == "failed"
-        assert r.s == ("CRITICAL" if worst else "WARNING" if r.failed else "RUNNING" if r.rtb == "running" else "WARNING" if r.sync else "OK")
+    s, c = status.roll_up(F.col("sync"), F.col("job"), F.col("failed"))
+    for r in spark.createDataFrame(cases, "sync int, job string, failed int").select("*", s.alias("s"), c.alias("c")).collect():
+        worst = r.sync == 2 or r.job == "failed"
+        assert r.s == ("CRITICAL" if worst else "WARNING" if r.failed else "RUNNING" if r.job == "running" else "WARNING" if r.sync else "OK")
         assert r.c == (2 if worst else 1 if r.sync or r.failed else 0)
 
 
