@@ -225,7 +225,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """``encoded`` with the bytes of its ``ids``; ids outside the vocabulary stand for nothing."""
+    """``encoded`` with the bytes of its ``ids`` in decoded (replaced if there); ids outside the vocabulary stand for nothing."""
     if ranks is None:
         ranks = public_vocabulary()[0]
     size = np.zeros(max(ranks.values(), default=0) + 2, np.int64)
@@ -233,6 +233,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFra
         size[k] = len(token)
     by_id = sorted(ranks, key=ranks.get)
     held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8), size))
+    encoded = encoded.drop("decoded")
     names, schema = encoded.columns, encoded.withColumn("decoded", F.lit(b"")).schema
 
     def run(batches):

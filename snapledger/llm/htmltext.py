@@ -230,7 +230,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` with the main text of ``html`` in main_text; all columns are kept."""
+    """``pages`` with the main text of ``html`` in main_text; all other columns are kept, one of that name is replaced."""
+    pages = pages.drop("main_text")
     schema = pages.withColumn("main_text", F.lit("")).schema
     names = pages.columns
 

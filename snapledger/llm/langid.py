@@ -137,7 +137,8 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG):
 
 
 def identify(docs: DataFrame, filters) -> DataFrame:
-    """``docs`` with lang_pred and lang_score; all columns are kept."""
+    """``docs`` with lang_pred and lang_score; all other columns are kept, those of these names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score")
     if filters is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("lang_score", F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(filters)

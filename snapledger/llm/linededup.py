@@ -120,17 +120,18 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and lines_total and lines_removed; all other columns are kept."""
-    lists = cut(_repeated(docs).groupBy("doc_key").agg(F.collect_list(F.struct("line", "lines")).alias("line_drops")))
-    lists = lists.withColumnRenamed("doc_key", "line_doc")
-    keyed = docs.withColumn("line_doc", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = join_checked(keyed, lists, "line_doc", "left")
+    """``docs`` with repeated chunks taken out of ``text``, and lines_total and lines_removed; all other columns are kept, those of these names are replaced."""
+    docs = docs.drop("lines_total", "lines_removed")
+    lists = cut(_repeated(docs).groupBy("doc_key").agg(F.collect_list(F.struct("line", "lines")).alias("__line_drops")))
+    lists = lists.withColumnRenamed("doc_key", "__line_doc")
+    keyed = docs.withColumn("__line_doc", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    joined = join_checked(keyed, lists, "__line_doc", "left")
     schema = docs.withColumn("lines_total", F.lit(0)).withColumn("lines_removed", F.lit(0)).schema
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            text, drops = batch.column("text"), batch.column("line_drops")
+            text, drops = batch.column("text"), batch.column("__line_drops")
             total, removed, changed = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32), {}
             at = 0
             for i, j, data, off in tb.slices(text):
@@ -152,7 +153,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = [text if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(removed)], [*names, "lines_total", "lines_removed"])
 
-    return joined.select(*names, "line_drops").mapInArrow(run, schema)
+    return joined.select(*names, "__line_drops").mapInArrow(run, schema)
 
 
 def op4(spark, sf_dir):

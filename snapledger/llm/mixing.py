@@ -62,7 +62,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_size, source_size, target and mix_copies, the number of times the mix takes the row."""
+    """``docs`` with mix_size, source_size, target and mix_copies, the number of times the mix takes the row (columns of these names are replaced)."""
+    docs = docs.drop("mix_size", "source_size", "target", "mix_copies")
     sizes = cut(docs.select("doc_id", _key(F.col("source")).alias("key"), _size(F.col("text")).alias("size")))
     ranked = sizes.groupBy("key", "doc_id").agg(F.sum("size").alias("size")).select("key", "size", _rank(F.col("doc_id"), seed).alias("rank"))
     bucket = F.substring("rank", 1, 3).alias("bucket")
@@ -92,11 +93,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
     # without an edge the documents' sizes never pass what is needed: all are taken if anything is needed
     plan = plan.join(cuts, "key", "left").withColumn("last", F.coalesce("last", F.when(F.col("need") > 0, F.lit("g")).otherwise(F.lit(""))))
-    plan = plan.select(F.col("key").alias("mix_key"), "source_size", "target", F.col("whole").alias("mix_whole"), F.col("last").alias("mix_last"))
-    out = docs.withColumn("mix_key", _key(F.col("source"))).withColumn("mix_size", _size(F.col("text")))
-    out = join_checked(out, cut(plan), "mix_key", "inner", n)
-    copies = F.col("mix_whole") + (_rank(F.col("doc_id"), seed) <= F.col("mix_last")).cast("long")
-    return out.withColumn("mix_copies", F.when(F.col("mix_size") > 0, copies).otherwise(F.lit(0)).cast("long")).drop("mix_key", "mix_whole", "mix_last")
+    plan = plan.select(F.col("key").alias("__mix_key"), "source_size", "target", F.col("whole").alias("__mix_whole"), F.col("last").alias("__mix_last"))
+    out = docs.withColumn("__mix_key", _key(F.col("source"))).withColumn("mix_size", _size(F.col("text")))
+    out = join_checked(out, cut(plan), "__mix_key", "inner", n)
+    copies = F.col("__mix_whole") + (_rank(F.col("doc_id"), seed) <= F.col("__mix_last")).cast("long")
+    return out.withColumn("mix_copies", F.when(F.col("mix_size") > 0, copies).otherwise(F.lit(0)).cast("long")).drop("__mix_key", "__mix_whole", "__mix_last")
 
 
 def op6(spark, sf_dir):

@@ -181,7 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality"):
 
 
 def score(docs: DataFrame, machine) -> DataFrame:
-    """``docs`` with a column quality_score, 0 to 1; all columns are kept."""
+    """``docs`` with a column quality_score, 0 to 1; all other columns are kept, one of that name is replaced."""
+    docs = docs.drop("quality_score")
     if isinstance(machine, float):
         return docs.withColumn("quality_score", F.lit(machine))
     held = docs.sparkSession.sparkContext.broadcast(machine)
