@@ -6,12 +6,16 @@ size, each band up to twice the last; pairs inside a band and pairs across each
 between bands are looked for apart. For each of these, the domain of shingles is cut into
 more parts than the elements in which a pair can differ, in groups of two of which the
 one-part subsets are enumerated; a set's signatures are its hashed contents of the parts,
-and two similar sets must agree in one. Parts that hold fewer than ``LIGHT`` elements of
-a set say little and are left out as long as the parts that are left outnumber what the
-set can differ in from any partner, so that an agreement among them is still certain;
-otherwise all its parts are used.
-
-Equal sets are one node. Each signature's nodes are tied to the least of them, first
+and two similar sets must agree in one. A set uses only its parts with at least t telling elements,
+t being the largest number up to ``LIGHT`` for which these parts outnumber what the set
+can differ in from any partner: of two similar sets, one part of those used by the one
+with the larger t must agree, and holds as much in the other. Shingles that at least ``COMMON`` of about ``SAMPLE``
+texts hold are not telling: a line or passage that many texts share makes no signature by
+itself. Which shingles these are decides only about cost, never about a link, so a bounded
+sample of distinct texts is enough.
+
+Equal sets are one node. Each signature's nodes are tied to the one among them that stands
+in the largest signatures, which of a group of copies is what they were copied from: first
 through the leader that a node shares most signatures with, then, for pairs not yet in
 one component, through the other leaders, and last pairwise, again only across different
 components. A tie counts only if the sets themselves pass the test: parities of the sets
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import cut, join_checked, table
+from snapledger.llm.common import cut, join_checked, sample_share, table
 from snapledger.llm.components import components
 
-WIDTH, LIGHT, PARITY_BITS = 5, 2, 2048
+WIDTH, LIGHT, PARITY_BITS = 5, 3, 2048
+SAMPLE, COMMON = 16_000, 8
 
 _ODD = tb.U64(0xD6E8FEB86659FD93)
 
@@ -79,23 +84,28 @@ def _instances(n: np.ndarray):
     return doc, search, most, parts + parts % 2
 
 
-def signatures(items: np.ndarray, of: np.ndarray, light: int = LIGHT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the number of the set of each."""
+def signatures(items: np.ndarray, of: np.ndarray, common: np.ndarray, light: int = LIGHT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and the number of the set of each. ``common``: sorted shingles that do not tell."""
+    telling = np.ones(len(items), bool)
+    if len(common):
+        telling = common[np.minimum(np.searchsorted(common, items), len(common) - 1)] != items
     doc, search, most, parts = _instances(np.diff(of))
     n = np.diff(of)[doc]
     instance = np.repeat(np.arange(len(doc)), n)
     ends = np.concatenate(([0], np.cumsum(n)))
-    x = items[np.repeat(of[:-1][doc] - ends[:-1], n) + np.arange(ends[-1])]
+    element = np.repeat(of[:-1][doc] - ends[:-1], n) + np.arange(ends[-1])
+    x = items[element]
     base = np.concatenate(([0], np.cumsum(parts)))
     dealt = tb.mix(x + (search[instance].astype(tb.U64) + tb.U64(1)) * _ODD) >> tb.U64(32)
     part = base[:-1][instance] + (dealt * parts[instance].astype(tb.U64) >> tb.U64(32)).astype(np.int64)
     sums = np.zeros(base[-1], tb.U64)
     np.add.at(sums, part, tb.mix(x ^ (_ODD << tb.U64(1))))
-    held = np.bincount(part, minlength=base[-1])
+    held = np.bincount(part[telling[element]], minlength=base[-1])
     owner = np.repeat(np.arange(len(doc)), parts)
-    heavy = held >= light
-    enough = np.bincount(owner[heavy], minlength=len(doc)) > most
-    used = np.flatnonzero(heavy | ~enough[owner])
+    least = np.zeros(len(doc), np.int64)
+    for t in range(1, light + 1):
+        least[np.bincount(owner[held >= t], minlength=len(doc)) > most] = t
+    used = np.flatnonzero(held >= least[owner])
     owner = owner[used]
     place = search[owner].astype(tb.U64) << tb.U64(40) | (used - base[:-1][owner]).astype(tb.U64)
     return tb.mix(sums[used] + tb.mix(place)), doc[owner]
@@ -128,21 +138,38 @@ def _describe(batches):
             )
 
 
-def _sign(batches):
+def _shingles(batches):
     for batch in batches:
         for _, _, data, off in tb.slices(batch.column("text")):
-            items, of = shingle_sets(data, off)
-            node = set_hashes(items, of)
-            sig, doc = signatures(items, of)
-            first = np.zeros(len(node), bool)
-            first[np.unique(node, return_index=True)[1]] = True
-            keep = first[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[doc[keep]].view(np.int64))], ["sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, off)[0].view(np.int64))], ["item"])
+
+
+def _common(keyed: DataFrame, rows: int) -> np.ndarray:
+    """Shingles that COMMON or more texts of a sample hold: at most SAMPLE / COMMON times a text's shingles."""
+    some = keyed.filter(F.col("text").isNotNull()).filter(sample_share(SAMPLE, F.lit(max(1, rows)), F.col("text"))).select("text").distinct()
+    counted = some.mapInArrow(_shingles, "item long").groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    return np.sort(counted.select("item").toArrow()["item"].to_numpy().view(tb.U64))
+
+
+def _sign(common):
+    def run(batches):
+        for batch in batches:
+            for _, _, data, off in tb.slices(batch.column("text")):
+                items, of = shingle_sets(data, off)
+                node = set_hashes(items, of)
+                sig, doc = signatures(items, of, common.value)
+                first = np.zeros(len(node), bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                keep = first[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[doc[keep]].view(np.int64))], ["sig", "node"])
+
+    return run
 
 
 def _tie(batches):
-    """From rows sorted by signature and node: (sig, leader, node) for every node but the first of each signature."""
-    last_sig = last_node = leader = None
+    """From rows sorted by signature and node: the distinct (sig, node) of signatures with several nodes."""
+    last_sig = last_node = first = None
+    told = False
     for batch in batches:
         sig, node = (batch.column(c).to_numpy() for c in ("sig", "node"))
         if not len(sig):
@@ -152,10 +179,16 @@ def _tie(batches):
         same = np.append(False, (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
         same[0] = not new[0] and node[0] == last_node
         at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        lead = np.where(at >= 0, node[np.maximum(at, 0)], leader if leader is not None else 0)
-        keep = ~new & ~same & (node != lead)
-        last_sig, last_node, leader = sig[-1], node[-1], lead[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(lead[keep]), pa.array(node[keep])], ["sig", "leader", "node"])
+        lead = np.where(at >= 0, node[np.maximum(at, 0)], first if first is not None else 0)
+        keep = np.flatnonzero(~new & ~same & (node != lead))
+        # the second node of a signature brings the first with it
+        second = np.append(True, sig[keep][1:] != sig[keep][:-1]) if len(keep) else np.zeros(0, bool)
+        if len(keep) and at[keep[0]] < 0:
+            second[0] = not told
+        told = bool((~new & ~same & (node != lead) & (sig == sig[-1])).any()) or (told and at[-1] < 0)
+        last_sig, last_node, first = sig[-1], node[-1], lead[-1]
+        brought = keep[second]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((sig[keep], sig[brought]))), pa.array(np.concatenate((node[keep], lead[brought])))], ["sig", "node"])
 
 
 def _sets(batches):
@@ -177,11 +210,16 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _near():
+    """Whether the parities of a and b differ in no more bits than similar sets may in elements."""
+    far = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return far * 9 <= F.col("n_a") + F.col("n_b")
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar."""
-    far = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").filter(far * 9 <= F.col("n_a") + F.col("n_b"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").filter(_near())
     near = cut(near.select("a", "b"))
     needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     needed = cut(nodes.join(needed, "node", "left_semi").select("node", "doc_key"))
@@ -206,10 +244,14 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = described.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("doc_key").alias("doc_key"), F.max("n").alias("n"), F.min("parity").alias("parity"))
     nodes = cut(nodes)
     width = max(8, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = keyed.select("text").mapInArrow(_sign, "sig long, node long").repartition(width, "sig").sortWithinPartitions("sig", "node")
-    tied = cut(signed.mapInArrow(_tie, "sig long, leader long, node long"))
-
-    stars = tied.groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    common = keyed.sparkSession.sparkContext.broadcast(_common(keyed, described.count()))
+    signed = keyed.select("text").mapInArrow(_sign(common), "sig long, node long").repartition(width, "sig").sortWithinPartitions("sig", "node")
+    tied = cut(signed.mapInArrow(_tie, "sig long, node long"))
+
+    sizes = tied.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    weight = tied.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = tied.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    stars = tied.select("sig", F.col("node").alias("b")).join(leaders, "sig").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     stars = cut(stars.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))))
     links = _similar(stars.filter("nth = 1").select("a", "b"), nodes, keyed)
     roots = cut(components(links))
@@ -220,9 +262,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # nodes of one signature in different components, leaders apart
     open_ = _rooted(tied.select("sig", "node"), roots, "node")
     split = open_.groupBy("sig").agg(F.min("root_node").alias("lo"), F.max("root_node").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = cut(open_.join(split, "sig", "left_semi").join(nodes.select("node", "n"), "node"))
-    left, right = (open_.select("sig", F.col("node").alias(c), F.col("root_node").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    crossed = left.join(right, "sig").filter("a < b AND ra <> rb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+    open_ = open_.join(split, "sig", "left_semi").join(nodes.select("node", "n", "parity"), "node")
+    left, right = (open_.select(F.col("sig").alias(f"sig_{c}"), F.col("node").alias(c), F.col("root_node").alias(f"r{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    # sizes and parities are part of the join's own condition: pairs that they rule out are never rows
+    crossed = left.join(right, F.expr("sig_a = sig_b AND a < b AND ra <> rb AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)") & _near()).select("a", "b").distinct()
     links = links.unionByName(_similar(crossed, nodes, keyed))
     roots = cut(components(links))
 
@@ -239,10 +282,10 @@ def op2(spark, sf_dir):
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least doc_id (of rows with one id, that of the least key; of equal rows, one), and all documents with an empty set."""
-    keyed = docs.withColumn("jaccard_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__jaccard_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     found = classes(docs)
     single = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("first"))
-    keep = cut(single.select(F.col("first.doc_key").alias("jaccard_key")).distinct())
-    kept = join_checked(keyed, keep, "jaccard_key", "left_semi")
+    keep = cut(single.select(F.col("first.doc_key").alias("__jaccard_key")).distinct())
+    kept = join_checked(keyed, keep, "__jaccard_key", "left_semi")
     words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    return kept.filter(words).dropDuplicates(["jaccard_key"]).unionByName(keyed.filter(~words)).drop("jaccard_key")
+    return kept.filter(words).dropDuplicates(["__jaccard_key"]).unionByName(keyed.filter(~words)).drop("__jaccard_key")
