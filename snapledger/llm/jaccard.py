@@ -216,6 +216,13 @@ def _near():
     return far * 9 <= F.col("n_a") + F.col("n_b")
 
 
+def _folded():
+    """The parity in a quarter of its bits: it differs in no more of them."""
+    p = F.col("parity")
+    quarter = PARITY_BITS // 64 // 4
+    return F.transform(F.slice(p, 1, quarter), lambda x, i: x.bitwiseXOR(p[i + quarter]).bitwiseXOR(p[i + 2 * quarter]).bitwiseXOR(p[i + 3 * quarter])).alias("parity")
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
@@ -262,7 +269,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # nodes of one signature in different components, leaders apart
     open_ = _rooted(tied.select("sig", "node"), roots, "node")
     split = open_.groupBy("sig").agg(F.min("root_node").alias("lo"), F.max("root_node").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = open_.join(split, "sig", "left_semi").join(nodes.select("node", "n", "parity"), "node")
+    open_ = open_.join(split, "sig", "left_semi").join(nodes.select("node", "n", _folded()), "node")
     left, right = (open_.select(F.col("sig").alias(f"sig_{c}"), F.col("node").alias(c), F.col("root_node").alias(f"r{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
     # sizes and parities are part of the join's own condition: pairs that they rule out are never rows
     crossed = left.join(right, F.expr("sig_a = sig_b AND a < b AND ra <> rb AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)") & _near()).select("a", "b").distinct()
