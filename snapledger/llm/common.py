@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what it no longer refers to, upon which Spark deletes the shuffle files and checkpoints of lineages already cut."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def gathered(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` of ``rows`` rows in tasks of about ``per_task``, 8 tasks at least, never more tasks than it has: small tables leave few files."""
+    return df.coalesce(rows // per_task + 8)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join that broadcasts ``small`` only if it has at most ``limit`` rows, counted here; else both sides are shuffled."""
     n = small.count() if rows is None else rows

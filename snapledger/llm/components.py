@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import cut
+from snapledger.llm.common import cut, gathered, release
+
+#: Links a task takes.
+PER_TASK = 50_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,16 +19,20 @@ def components(links: DataFrame) -> DataFrame:
     node's neighbours are gathered in one place.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    rows, before = edges.count(), None
+    few = lambda df: gathered(df, rows, PER_TASK)
+    edges = few(edges)
     while True:
+        release(edges.sparkSession)
         # large star: the greater neighbours of a node go to its least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        joined = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = cut(few(few(joined).distinct()))
         # small star: a node and its lesser neighbours go to the least of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(edges.distinct())
+        edges = cut(few(few(edges).distinct()))
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

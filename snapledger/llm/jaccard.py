@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import cut, join_checked, sample_share, table
+from snapledger.llm.common import cut, gathered, join_checked, release, sample_share, table
 from snapledger.llm.components import components
 
 WIDTH, LIGHT, PARITY_BITS = 5, 3, 2048
 SAMPLE, COMMON = 16_000, 8
+#: Pairs of sets a task compares.
+PAIRS_PER_TASK = 10_000
 
 _ODD = tb.U64(0xD6E8FEB86659FD93)
 
@@ -228,6 +230,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").filter(_near())
     near = cut(near.select("a", "b"))
+    near = gathered(near, near.count(), PAIRS_PER_TASK)
+    release(nodes.sparkSession)
     needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     needed = cut(nodes.join(needed, "node", "left_semi").select("node", "doc_key"))
     sets = join_checked(keyed, needed, "doc_key", "inner").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, items binary")
@@ -254,6 +258,7 @@ def classes(docs: DataFrame) -> DataFrame:
     common = keyed.sparkSession.sparkContext.broadcast(_common(keyed, described.count()))
     signed = keyed.select("text").mapInArrow(_sign(common), "sig long, node long").repartition(width, "sig").sortWithinPartitions("sig", "node")
     tied = cut(signed.mapInArrow(_tie, "sig long, node long"))
+    release(keyed.sparkSession)
 
     sizes = tied.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     weight = tied.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("weight"))
