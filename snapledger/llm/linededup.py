@@ -1,16 +1,22 @@
-"""Removal of repeated passages, by content-defined chunks of lines.
-
-Every line is hashed. A chunk ends after a line if a rolling hash over it and the line
-before says so (one line in ``DIVISOR``), so that the ends depend on nothing farther away
-and stay where they are when a passage shifts. A line of ``LONG_WORDS`` words or more is a
-chunk by itself, whatever stands around it. Chunks of several lines with at least
-``LEAST_WORDS`` words, and long lines, are looked up by hash over all documents; where a
-hash repeats, the chunks' bytes are compared, by grouping on the text itself, and all but
-the first (smallest doc_id, then line) are taken out.
-
-Only hashes of chunks are shuffled, and the text of repeated ones, pre-aggregated by text
-in each task. What is to go is joined to the documents, by broadcast up to a counted
-number of documents, else by a shuffle.
+"""Removal of repeated passages, by overlapping windows and content-defined chunks of lines.
+
+From every line the shortest run of lines with ``LONG_WORDS`` words or more that begins
+there, and the shortest that ends there, are windows. They depend on their own lines
+alone, and every line of every repeated run of ``LONG_WORDS`` words lies in a window that
+repeats with it, so that such runs go whole, up to the last line that is equal.
+
+Shorter repeats are found by chunks: a chunk ends after a line if a rolling hash over it
+and the line before says so (one line in ``DIVISOR``). Chunks of several lines with at
+least ``LEAST_WORDS`` words are looked up like the windows, by hash over all documents;
+where a hash repeats, all but the first (smallest doc_id, then line) are to go, without
+the lines that a window shares with its own first place.
+
+The windows to go overlap. Of each document's, a few that cover the same lines are picked,
+and their bytes are compared with the first place's, by grouping on the text itself. Is
+there a hash of two texts among them, which hardly ever happens, the bytes of all are
+grouped instead. Only hashes are shuffled, and the text of picked windows, pre-aggregated
+by text in each task. What is to go is joined to the documents, by broadcast up to a
+counted number of documents, else by a shuffle.
 
 A document is known by doc_id and text together: rows equal in both are one document and
 all keep its chunks. Null text stays null. Null ids sort first. Lines end at \\n alone.
@@ -30,11 +36,21 @@ from snapledger.llm.common import cut, join_checked, table
 
 DIVISOR, LONG_WORDS, LEAST_WORDS = 2, 50, 10
 
-_PLACE = "doc_id long, doc_key long, line int"
+_PLACE = "doc_id long, doc_key long, line int, lines int"
+
+
+def _windows(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int):
+    """First and last line of the shortest runs with ``least`` words from and up to every line, within its row's lines ``first`` to ``last``."""
+    before = np.concatenate(([0], np.cumsum(words)))
+    at = np.arange(len(words))
+    to = np.searchsorted(before, before[:-1] + least, "left") - 1
+    since = np.searchsorted(before, before[1:] - least, "right") - 1
+    down, up = to <= last, since >= first
+    return np.concatenate((at[down], since[up])), np.concatenate((to[down], at[up]))
 
 
 def chunks(data: np.ndarray, off: np.ndarray, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_words: int = LEAST_WORDS):
-    """Row, first line, number of lines, hash, first and end byte of every chunk worth looking up."""
+    """Row, first line, number of lines, hash, first and end byte of every window and chunk worth looking up."""
     n = len(off) - 1
     ends = np.flatnonzero(data == 0x0A)
     start = np.concatenate((off[:-1], ends + 1))
@@ -59,37 +75,80 @@ def chunks(data: np.ndarray, off: np.ndarray, divisor: int = DIVISOR, long_words
     lines = at_end - at + 1
     total = np.add.reduceat(words, at)
     worth = ((lines > 1) & (total >= least_words)) | (total >= long_words)
-    at, at_end, lines = at[worth], at_end[worth], lines[worth]
-    number = np.arange(len(row)) - np.flatnonzero(first_of_row)[row]
+    first, last = np.flatnonzero(first_of_row)[row], np.flatnonzero(last_of_row)[row]
+    since, to = _windows(words, first, last, long_words)
+    at, at_end = np.divmod(np.unique(np.concatenate((at[worth], since)) * len(row) + np.concatenate((at_end[worth], to))), len(row))
+    lines = at_end - at + 1
+    number = np.arange(len(row)) - first
     return row[at], number[at], lines, tb.span_hashes(sums, start[at], end[at_end]), start[at], end[at_end]
 
 
-def _find(batches):
+def _find(mask: int):
+    def run(batches):
+        for batch in batches:
+            ids, keys, parts = batch.column("doc_id"), batch.column("doc_key"), [[] for _ in range(4)]
+            for i, _, data, off in tb.slices(batch.column("text")):
+                row, line, lines, h, _, _ = chunks(data, off)
+                for part, x in zip(parts, (row + i, line, lines, h.view(np.int64) & mask), strict=True):
+                    part.append(x)
+            if not parts[0]:
+                continue
+            row, line, lines, h = (np.concatenate(x) for x in parts)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(row), keys.take(row), pa.array(line.astype(np.int32)), pa.array(lines.astype(np.int32))], ["hash", "doc_id", "doc_key", "line", "lines"])
+
+    return run
+
+
+def cover(start: list[int], end: list[int]) -> list[int]:
+    """Which of the spans, sorted by ``start``, to pick so that they cover what all cover; no place is in more than two."""
+    out, at, covered = [], 0, -1
+    while at < len(start):
+        covered, best = max(covered, start[at]), -1
+        while at < len(start) and start[at] <= covered:
+            if best < 0 or end[at] > end[best]:
+                best = at
+            at += 1
+        if end[best] > covered:
+            out.append(best)
+            covered = end[best]
+    return out
+
+
+def _pick(batches):
+    """Of the chunks to go listed in ``found``, those that cover the lines of all; from_line and n_lines leave out what a chunk shares with its first place."""
     for batch in batches:
-        ids, keys, parts = batch.column("doc_id"), batch.column("doc_key"), [[] for _ in range(4)]
-        for i, _, data, off in tb.slices(batch.column("text")):
-            row, line, lines, h, _, _ = chunks(data, off)
-            for part, x in zip(parts, (row + i, line, lines, h.view(np.int64)), strict=True):
-                part.append(x)
-        if not parts[0]:
-            continue
-        row, line, lines, h = (np.concatenate(x) for x in parts)
-        row = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(h), ids.take(row), keys.take(row), pa.array(line.astype(np.int32)), pa.array(lines.astype(np.int32))], ["hash", "doc_id", "doc_key", "line", "lines"])
+        lists = batch.column("found")
+        x = dict(zip((f.name for f in lists.type.value_type), lists.flatten().flatten(), strict=True))
+        line, lines, key, first, length = (x[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("line", "lines", "keep_key", "keep_line", "keep_lines"))
+        of = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        doc = tb.rows_of(of)
+        own = key == batch.column("doc_key").to_numpy(zero_copy_only=False)[doc]
+        end = line + lines
+        start = np.where(own, np.maximum(line, np.minimum(first + length, end)), line)
+        order = np.lexsort((-end, start, doc))
+        start, end = start[order], end[order]
+        picked = [k + of[d] for d in range(len(of) - 1) for k in cover(start[of[d] : of[d + 1]].tolist(), end[of[d] : of[d + 1]].tolist())]
+        at = np.array(picked, np.int64)
+        take = pa.array(order[at])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(doc[at])), batch.column("doc_key").take(pa.array(doc[at])), *(v.take(take) for v in x.values()), pa.array(start[at].astype(np.int32)), pa.array((end - start)[at].astype(np.int32))],
+            ["doc_id", "doc_key", *x, "from_line", "n_lines"],
+        )
 
 
 def _texts(batches):
     """The text of the chunks listed in ``found`` (hash, line, lines)."""
     for batch in batches:
-        out = [[], [], [], [], []]
+        out = [[], [], [], [], [], []]
         for doc, key, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_key", "text", "found")), strict=True):
             rows = text.split("\n")
             for x in found:
-                for part, value in zip(out, (x["hash"], "\n".join(rows[x["line"] : x["line"] + x["lines"]]), doc, key, x["line"]), strict=True):
+                for part, value in zip(out, (x["hash"], "\n".join(rows[x["line"] : x["line"] + x["lines"]]), doc, key, x["line"], x["lines"]), strict=True):
                     part.append(value)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())],
-            ["hash", "chunk", "doc_id", "doc_key", "line"],
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())],
+            ["hash", "chunk", "doc_id", "doc_key", "line", "lines"],
         )
 
 
@@ -97,32 +156,41 @@ def _key():
     return F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc_key")
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, line, lines) of all chunks to take out."""
+def _picked(members: DataFrame) -> DataFrame:
+    """The chunks to go that cover the lines of all, out of ``members`` (hash, place, keep)."""
+    keep = (F.col("keep")[c].alias(f"keep_{c.removeprefix('doc_')}") for c in ("doc_id", "doc_key", "line", "lines"))
+    lists = members.filter(F.struct("doc_id", "doc_key", "line", "lines") != F.col("keep")).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("hash", "line", "lines", *keep)).alias("found"))
+    return cut(lists.mapInArrow(_pick, "doc_id long, doc_key long, hash long, line int, lines int, keep_id long, keep_key long, keep_line int, keep_lines int, from_line int, n_lines int"))
+
+
+def _repeated(docs: DataFrame, mask: int = -1) -> DataFrame:
+    """(doc_id, doc_key, line, lines) of all lines to take out; of the hashes, only the bits in ``mask`` count."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key()).filter(F.col("text").isNotNull())
-    found = keyed.mapInArrow(_find, "hash long, " + _PLACE + ", lines int")
-    place = F.struct("doc_id", "doc_key", "line")
+    found = keyed.mapInArrow(_find(mask), "hash long, " + _PLACE)
+    place = F.struct("doc_id", "doc_key", "line", "lines")
+
+    def texts_of(places):
+        lists = cut(places.groupBy("doc_key").agg(F.collect_list(F.struct("hash", "line", "lines")).alias("found")))
+        return join_checked(keyed, lists, "doc_key", "inner").select("doc_id", "doc_key", "text", "found").mapInArrow(_texts, "hash long, chunk string, " + _PLACE)
+
     groups = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep")).filter("n > 1")
-    members = cut(found.join(groups.select("hash", "keep"), "hash"))
-    lists = members.groupBy("doc_key").agg(F.collect_list(F.struct("hash", "line", "lines")).alias("found"))
-    lists = cut(lists)
-    texts = join_checked(keyed, lists, "doc_key", "inner").select("doc_id", "doc_key", "text", "found").mapInArrow(_texts, "hash long, chunk string, " + _PLACE)
-    clash = cut(texts.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"))
-    out = members.filter(place != F.col("keep"))
-    n = clash.count()
-    if n:
-        # different chunks with one hash: told apart by their text
-        same = join_checked(texts, clash.select("hash"), "hash", "left_semi", n)
-        first = same.groupBy("hash", "chunk").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n"))
-        again = same.join(first, ["hash", "chunk"]).filter(place != F.col("keep")).select("hash", "doc_key", "line")
-        out = join_checked(out, clash.select("hash"), "hash", "left_anti", n).unionByName(members.join(again.distinct(), ["hash", "doc_key", "line"], "left_semi"))
-    return out.select("doc_id", "doc_key", "line", "lines")
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and lines_total and lines_removed; all other columns are kept, those of these names are replaced."""
+    members = found.join(groups.select("hash", "keep"), "hash")
+    picked = _picked(members)
+    first = picked.groupBy("hash").agg(F.min(F.struct("keep_key", "keep_line", "keep_lines")).alias("keep")).select("hash", F.col("keep.keep_key").alias("doc_key"), F.col("keep.keep_line").alias("line"), F.col("keep.keep_lines").alias("lines"))
+    texts = texts_of(picked.select("hash", "doc_key", "line", "lines").unionByName(first))
+    clash = texts.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    if not clash.isEmpty():
+        # different chunks with one hash: all are told apart by their text
+        same = cut(texts_of(members.select("hash", "doc_key", "line", "lines").distinct()))
+        first = same.groupBy("hash", "chunk").agg(F.min(place).alias("keep"))
+        picked = _picked(same.join(first, ["hash", "chunk"]).drop("chunk"))
+    return picked.select("doc_id", "doc_key", F.col("from_line").alias("line"), F.col("n_lines").alias("lines"))
+
+
+def dedup(docs: DataFrame, mask: int = -1) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and lines_total and lines_removed; all other columns are kept, those of these names are replaced."""
     docs = docs.drop("lines_total", "lines_removed")
-    lists = cut(_repeated(docs).groupBy("doc_key").agg(F.collect_list(F.struct("line", "lines")).alias("__line_drops")))
+    lists = cut(_repeated(docs, mask).groupBy("doc_key").agg(F.collect_list(F.struct("line", "lines")).alias("__line_drops")))
     lists = lists.withColumnRenamed("doc_key", "__line_doc")
     keyed = docs.withColumn("__line_doc", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     joined = join_checked(keyed, lists, "__line_doc", "left")

@@ -149,6 +149,34 @@ def test_repeated_passages_go_once(spark):
     assert linededup.dedup(docs(spark, []).limit(0)).count() == 0
 
 
+def plain_repeats(texts, least=50):
+    """Lines in a run of ``least`` words that stands at an earlier place too; a run's lines within its own first place stay."""
+    split, first, gone = [t.split("\n") for t in texts], {}, set()
+    for d, rows in enumerate(split):
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows) + 1):
+                if sum(len(x.split()) for x in rows[i:j]) >= least:
+                    at = first.setdefault(tuple(rows[i:j]), (d, i))
+                    if at != (d, i):
+                        gone |= {(d, k) for k in range(i, j) if at[0] != d or k >= at[1] + j - i}
+    return gone
+
+
+@pytest.mark.parametrize("mask", [-1, 15])
+def test_passages_of_short_lines_go_whole(spark, mask):
+    rng = random.Random(16)
+    texts = []
+    for n, width in [(2, 30), (3, 20), (6, 10), (10, 5), (20, 10), (20, 3)]:
+        passage = [prose(rng, width) for _ in range(n)]
+        texts += ["\n".join([*(prose(rng, rng.randint(1, 12)) for _ in range(rng.randint(0, 4))), *passage, *(prose(rng, rng.randint(1, 12)) for _ in range(rng.randint(0, 4)))]) for _ in range(2 if mask > 0 else 6)]
+    texts += ["\n".join(["the same ten words again and again in every line"] * 40), "\n".join(["one two three", "four five"] * 60)]
+    out = linededup.dedup(docs(spark, texts), mask).toPandas().set_index("doc_id").sort_index()
+    gone = plain_repeats(texts)
+    for d, t in enumerate(texts):
+        assert out["text"][d] == "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone), d
+    assert linededup.cover([0, 1, 2, 9], [3, 4, 5, 10]) == [0, 2, 3]
+
+
 def test_same_hash_different_text(spark, monkeypatch):
     monkeypatch.setattr(linededup.tb, "span_hashes", linededup.tb.span_hashes)
     data = "\n".join(["a b c", "d e f"]).encode()
