@@ -270,6 +270,19 @@ def test_nearest_equals_brute_force(spark):
     assert ann.nearest(v.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_search_grows_until_neighbours_are_found(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(v, F.col("vec_id") % 30 == 0, trees=4, leaf=20, search=60).toPandas()
+    found = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        found += len(set(g["vec_id"]) & set(np.argsort(d)[:10]))
+    assert found >= 0.9 * 10 * got["query_id"].nunique() == 900
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a&amp;b<br>c", "a&b c"), ("<", "<"), ("<div>" * 3000 + "x", "x"), ("<script>var a='<p>';</script><p>y", "y"),
     ("<html><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><div class='ad'>Buy this now, it is very good</div><article><h1>T</h1><p>One  two\nthree four.<p>Five &lt;six&gt; seven.</article><aside><p>More reading for you in here</aside><div id=comments><p>I like it, first comment</div><form><p>Mail me</form><footer>c</footer>", "T\nOne two three four.\nFive <six> seven."),
