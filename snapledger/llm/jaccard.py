@@ -248,7 +248,11 @@ def _rooted(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, n_shingles, component_id) of every row of ``docs`` (doc_id, text); doc_key tells texts with one id apart."""
+    """(doc_id, doc_key, n_shingles, component_id, root) of every row of ``docs`` (doc_id, text); doc_key tells texts with one id apart.
+
+    component_id is the component's least doc_id, which is null where all ids are and may
+    be another component's too; root tells components apart, and is null for empty sets.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = keyed.withColumn("doc_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     described = cut(keyed.mapInArrow(_describe, "doc_id long, doc_key long, n long, node long, parity array<long>"))
@@ -283,9 +287,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
     by_node = _rooted(nodes.select("node", "least_id"), roots, "node")
     least = by_node.groupBy("root_node").agg(F.min("least_id").alias("component_id"))
-    by_node = by_node.join(least, "root_node").select("node", "component_id")
+    by_node = by_node.join(least, "root_node").select("node", "component_id", F.col("root_node").alias("root"))
     out = described.select("doc_id", "doc_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(by_node, "node", "left")
-    return out.select("doc_id", "doc_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "doc_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def op2(spark, sf_dir):
@@ -296,7 +300,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least doc_id (of rows with one id, that of the least key; of equal rows, one), and all documents with an empty set."""
     keyed = docs.withColumn("__jaccard_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     found = classes(docs)
-    single = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("first"))
+    single = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("first"))
     keep = cut(single.select(F.col("first.doc_key").alias("__jaccard_key")).distinct())
     kept = join_checked(keyed, keep, "__jaccard_key", "left_semi")
     words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))

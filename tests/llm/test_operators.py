@@ -109,6 +109,16 @@ def test_jaccard_equals_all_pairs(spark):
     assert jaccard.classes(docs(spark, []).limit(0)).count() == 0
 
 
+def test_unlinked_texts_stay_whatever_their_ids(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 40) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]]
+    rows += [(None, texts[0]), (3, texts[1]), (7, texts[4] + " more"), (7, texts[5]), (None, ""), (None, " ")]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r["doc_id"], r["text"].removesuffix(" more")) for r in kept)
+    assert got == collections.Counter([(None, texts[0]), (3, texts[1]), (None, texts[2]), (None, texts[3]), *((7, t) for t in texts[4:]), (None, ""), (None, " ")])
+
+
 def test_components_of_chains(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (300, 100), (7, 7)]
