@@ -1,15 +1,17 @@
 """A corpus pipeline made of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the last returns token
-ids, the others rows with the columns of ``documents``. Labels come from ``sf_dir``.
+ids and the digest of what they decode to, the others rows with the columns of ``documents``. Labels come from ``sf_dir``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from snapledger.llm import bpe, jaccard, linededup, mixing, toxicity
-from snapledger.llm.common import cut, table
+from snapledger.llm.common import shared_folder, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -35,8 +37,9 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode_bytes(spark, docs, sf_dir):
-    """Token ids of every document."""
-    return bpe.encode(docs)
+    """Token ids of every document, and the SHA-256 of the bytes decoded from them."""
+    coded = bpe.decode(bpe.encode(docs))
+    return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -52,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; what a stage keeps is written out before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; what a stage keeps is written to the shared folder as Parquet before the next one reads it."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

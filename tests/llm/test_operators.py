@@ -322,6 +322,23 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(decoded) == d.count() and all(r["decoded"] == texts[r["doc_id"]].encode() for r in decoded)
 
 
+def test_pipeline_decodes_what_it_stored(spark, sf_dir):
+    import glob
+
+    import corpus_pipeline
+    from snapledger.llm.common import shared_folder
+
+    def stored():
+        return set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*"))
+
+    before = stored()
+    out = corpus_pipeline.run(spark, sf_dir).toPandas()
+    (folder,) = stored() - before
+    last = spark.read.parquet(f"{folder}/{corpus_pipeline.STAGES[-2][0]}").toPandas()
+    want = sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(last["doc_id"], last["text"], strict=True))
+    assert sorted(zip(out["doc_id"], out["decoded_sha256"], strict=True)) == want
+
+
 def test_same_results_again(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     digest = lambda df: hashlib.sha256(repr(sorted(map(tuple, df.collect()))).encode()).hexdigest()
