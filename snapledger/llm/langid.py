@@ -11,13 +11,15 @@ N-grams are runs of 5 bytes of the lower-cased text with all but letters made sp
 language contains an n-gram if it is at least ``SHARE`` as frequent in it as in the
 language where it is most frequent, so that a foreign line in a text teaches nothing.
 
-Filters are learnt from about ``PER_LANG`` texts of each language, of at most
-``LEARN_BYTES`` bytes each: a bounded sample, drawn by a hash of doc_id. All texts are
-read whole when they are identified.
+Filters are learnt from about ``PER_LANG`` distinct texts of each language, at most
+``LANG_BYTES`` of each, of a text longer than ``PIECE`` characters its beginning: a bounded
+sample, drawn by a hash of the text. All texts are read whole when they are identified.
 
 Null text, or one without a letter: ``und``, score 0. Texts that match no filter get the
 commonest language with score 0; ties go to the language first in code-point order. Null
-languages are not learnt; without any language everything is ``und``.
+languages are not learnt; without any language everything is ``und``. Equal rows, of null
+ids too, get equal results. Empty tables give empty results; columns of the operator's
+names are replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import held_out, join_checked, sample_share, table
+from snapledger.llm.common import held_out, learning_texts, map_batches, table
 
 N, HASHES, SLOT_BITS = 5, 2, 20
-PER_LANG, LEARN_BYTES, SHARE = 400, 1 << 20, 0.2
+PER_LANG, PIECE, LANG_BYTES, SHARE = 400, 1 << 16, 4 << 20, 0.2
 
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -124,16 +126,14 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG):
     """(languages, masks, false-positive rates, commonest language) from rows (doc_id, text, lang) that are not held out, or None."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.filter(F.octet_length("text") <= LEARN_BYTES).select("doc_id", "text", "lang")
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    held = per.collect()
-    if not held:
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", F.col("lang").alias("label"))
+    counted = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not counted:
         return None
-    got = join_checked(rows, per, "lang", "inner", len(held)).filter(sample_share(per_lang, F.col("n"), F.col("doc_id"))).select("lang", "text").toArrow()
-    lang, text = got["lang"].to_numpy(), got["text"].combine_chunks()
-    samples = {r["lang"]: text.filter(pa.array(lang == r["lang"])) for r in held}
-    return *build(samples), min(held, key=lambda r: (-r["n"], r["lang"]))["lang"]
+    got = learning_texts(rows, counted, per_lang, PIECE, LANG_BYTES)
+    lang, text = got["label"].to_numpy(), got["text"].combine_chunks()
+    samples = {k: text.filter(pa.array(lang == k)) for k in counted}
+    return *build(samples), min(counted, key=lambda k: (-counted[k], k))
 
 
 def identify(docs: DataFrame, filters) -> DataFrame:
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, filters) -> DataFrame:
                 score[i:j] = np.where(letters, c.max(axis=1) / np.maximum(total, 1e-300), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op1(spark, sf_dir):

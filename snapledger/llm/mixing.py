@@ -74,17 +74,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     plan = cut(plan)
-    n = plan.count()
+    wide = 48 + F.octet_length("key")
     run = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        join_checked(hist.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))), plan.select("key", "need"), "key", "inner", n)
+        join_checked(hist.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0))), plan.select("key", "need"), "key", "inner", wide)
         .filter((F.col("before") <= F.col("need")) & (F.col("before") + F.col("size") > F.col("need")))
         .select("key", "bucket", "before", "need")
     )
     inside = Window.partitionBy("key", "bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        ranked.select("key", "size", "rank", bucket)
-        .join(F.broadcast(edges) if n <= 500_000 else edges, ["key", "bucket"])
+        join_checked(ranked.select("key", "size", "rank", bucket), edges, ["key", "bucket"], "inner", wide)
         .withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .groupBy("key")
         .agg(F.max(F.when(F.col("before") * 2 + F.col("size") <= F.col("need") * 2, F.col("rank"))).alias("last"), F.min("bucket").alias("bucket"))
@@ -95,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     plan = plan.join(cuts, "key", "left").withColumn("last", F.coalesce("last", F.when(F.col("need") > 0, F.lit("g")).otherwise(F.lit(""))))
     plan = plan.select(F.col("key").alias("__mix_key"), "source_size", "target", F.col("whole").alias("__mix_whole"), F.col("last").alias("__mix_last"))
     out = docs.withColumn("__mix_key", _key(F.col("source"))).withColumn("mix_size", _size(F.col("text")))
-    out = join_checked(out, cut(plan), "__mix_key", "inner", n)
+    out = join_checked(out, cut(plan), "__mix_key", "inner", 64 + F.octet_length("__mix_key"))
     copies = F.col("__mix_whole") + (_rank(F.col("doc_id"), seed) <= F.col("__mix_last")).cast("long")
     return out.withColumn("mix_copies", F.when(F.col("mix_size") > 0, copies).otherwise(F.lit(0)).cast("long")).drop("__mix_key", "__mix_whole", "__mix_last")
 

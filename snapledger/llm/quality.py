@@ -9,14 +9,17 @@ letter cases, digits, marks and bars, repetition of words and lines, lengths) an
 
 all pairwise interactions of rank ``RANK`` in time linear in the vector's entries.
 
-The machine is fitted by AdaGrad on a bounded sample, at most about ``SAMPLE`` labelled
-rows of each class that are not held out, of at most ``LEARN_BYTES`` bytes each; the
-sample's vectors go to the driver. Weights are ``2**BITS`` x (1 + RANK) numbers at any
-input size. Statistics are standardised by the sample.
+The machine is fitted by AdaGrad on a bounded sample, about ``SAMPLE`` distinct texts of
+each class's labelled rows that are not held out, at most ``SAMPLE_BYTES`` of each class;
+of a text longer than ``PIECE`` characters its beginning is learnt from. The sample goes
+to the driver. Weights are ``2**BITS`` x (1 + RANK) numbers at any input size. Statistics
+are standardised by the sample. All texts are scored whole.
 
 Null text is empty; an empty text has no words and neutral statistics of its own. Null
-labels are not learnt; a document with several labels counts by the largest. If only one
-class is labelled every score is the share of label 1. Empty tables give empty results.
+labels, null ids' labels and labels other than 0 and 1 are not learnt; a document with
+several labels counts by the largest. Equal rows get equal scores; a score equal to the
+threshold counts as 1. If only one class is labelled every score is the share of label 1.
+Empty tables give empty results; a column of the operator's name is replaced.
 """
 
 from __future__ import annotations
@@ -27,14 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import held_out, join_checked, sample_share, table
+from snapledger.llm.common import held_out, join_checked, learning_texts, map_batches, table
 
 BITS, RANK = 16, 8
-SAMPLE, LEARN_BYTES = 3000, 1 << 18
+SAMPLE, PIECE, SAMPLE_BYTES = 3000, 1 << 16, 32 << 20
 EPOCHS, RATE, RIDGE = 12, 0.05, 1e-4
 THRESHOLD = 0.7
-#: Labels are broadcast up to so many rows (16 bytes each).
-LABEL_ROWS = 4_000_000
 
 _CLASSES = {
     "upper": range(0x41, 0x5B),
@@ -160,21 +161,19 @@ class Machine:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     """A fitted Machine, or the share of label 1 if only one class is labelled."""
-    marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    marks = marks.filter(~held_out(F.col("doc_id")))
-    counted = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    marks = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    counted = {r[0]: r[1] for r in join_checked(docs.select("doc_id"), marks, "doc_id", "inner").groupBy("label").count().collect()}
     if len(counted) < 2:
         return float(counted.get(1, 0) > 0)
-    some = marks.filter(sample_share(SAMPLE, F.when(F.col("label") == 1, counted[1]).otherwise(counted[0]), F.col("doc_id")))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= LEARN_BYTES)
-    got = join_checked(texts, some, "doc_id", "inner").select("text", "label").toArrow()
-    y = got["label"].to_numpy().astype(float)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = learning_texts(join_checked(texts, marks, "doc_id", "inner"), counted, SAMPLE, PIECE, SAMPLE_BYTES)
+    y, times = got["label"].to_numpy().astype(float), got["n"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return counted[1] / sum(counted.values())
     parts = [vectors(data, off) for _, _, data, off in tb.slices(got["text"])]
     of = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))))
     machine = Machine(parts[0][0].shape[1])
-    weight = np.where(y == 1, counted[1] / (y == 1).sum(), counted[0] / (y == 0).sum())
+    weight = times * np.where(y == 1, counted[1] / times[y == 1].sum(), counted[0] / times[y == 0].sum())
     machine.fit(np.concatenate([p[0] for p in parts]), of, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), y, weight)
     machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
     return machine
@@ -195,7 +194,7 @@ def score(docs: DataFrame, machine) -> DataFrame:
                 out[i:j] = held.value.raw(*vectors(data, off))[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op10(spark, sf_dir):

@@ -23,8 +23,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Bytes looked at together; longer texts are taken one at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes looked at together; longer texts are taken one at a time. Small enough for the processor's cache.
+SLICE_BYTES = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -36,7 +36,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, SLICE_BYTES + 1), base, U64)
         steps[0] = 1
         got = np.cumprod(steps, dtype=U64)
-        if n <= 4 * SLICE_BYTES:
+        if len(got) <= SLICE_BYTES + 1:  # those of a long text are not kept
             _powers[base] = got
     return got[:n]
 
