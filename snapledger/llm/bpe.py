@@ -13,7 +13,8 @@ Decoding looks the ids up in the table of token bytes, which the vocabulary boun
 Ids are given as little-endian unsigned 32-bit integers in a binary column, which holds
 for texts of any length and is what digests are taken of. Null and empty text give no
 ids, no ids give empty bytes; a null id list is decoded as an empty one. Rows are
-encoded one by one, equal ids or not. Empty tables give empty results.
+encoded one by one, equal or not, and null ids stay null. A text longer than a block is a
+block of its own. Empty tables give empty results; ``encode`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import table
+from snapledger.llm.common import map_batches, table
 
-#: Bytes of text in a block, and the most buckets.
-BLOCK_BYTES, MOST_BUCKETS = 16 << 20, 4096
+#: Characters of text in a block (one document more at most), and the most buckets.
+BLOCK_CHARS, MOST_BUCKETS = 4 << 20, 4096
 
 #: What the tokenizer library's \\s stands for: Unicode's White_Space.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -76,37 +77,45 @@ def _flat_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(data: np.ndarray, length: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word, worked out for a slice of the words at a time."""
     off = np.concatenate(([0], np.cumsum(length)))
-    return (tb.span_hashes(tb.prefix_sums(data), off[:-1], off[1:]) % tb.U64(buckets)).astype(np.int64)
+    out, i = np.zeros(len(length), np.int64), 0
+    while i < len(length):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + tb.SLICE_BYTES, "right")) - 1)
+        of = off[i : j + 1] - off[i]
+        out[i:j] = tb.span_hashes(tb.prefix_sums(data[off[i] : off[j]]), of[:-1], of[1:]) % tb.U64(buckets)
+        i = j
+    return out
 
 
 def _split(pattern: str):
     """Blocks: their documents' ids and token counts, distinct words, and the words' numbers by position."""
-    block = "block long, ids array<long>, counts binary, data binary, lengths binary, positions binary"
+    schema = "block long, ids array<long>, counts binary, data binary, lengths binary, positions binary"
+
+    def block(number, ids, positions, seen):
+        data, length = _flat_words([w.encode() for w in seen])
+        counts = np.fromiter(map(len, positions), np.int64, len(positions))
+        packed = (pa.array([_pack(x)], pa.binary()) for x in (counts, data, length, np.concatenate(positions)))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *packed], ["block", "ids", "counts", "data", "lengths", "positions"])
 
     def run(batches):
         find, number = _splitter(pattern), TaskContext.get().partitionId() << 32
+        ids, positions, seen, size = [], [], {}, 0
         for batch in batches:
-            ids, text = batch.column("doc_id"), batch.column("text")
-            for i, j, _, _ in tb.slices(text, BLOCK_BYTES):
-                seen: dict[str, int] = {}
-                counts, positions = np.zeros(j - i, np.int64), []
-                for k in range(i, j):
-                    words = find(text[k].as_py() or "")
-                    counts[k - i] = len(words)
-                    positions.append(np.fromiter([seen.setdefault(w, len(seen)) for w in words], np.uint32, len(words)))
-                data, length = _flat_words([w.encode() for w in seen])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int64()),
-                        pa.array([ids.slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                        *(pa.array([_pack(x)], pa.binary()) for x in (counts, data, length, np.concatenate(positions))),
-                    ],
-                    ["block", "ids", "counts", "data", "lengths", "positions"],
-                )
-                number += 1
-
-    return run, block
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                words = find(text)
+                ids.append(doc_id.as_py())
+                positions.append(np.fromiter([seen.setdefault(w, len(seen)) for w in words], np.uint32, len(words)))
+                size += len(text)
+                if size >= BLOCK_CHARS:
+                    yield block(number, ids, positions, seen)
+                    number += 1
+                    ids, positions, seen, size = [], [], {}, 0
+        if ids:
+            yield block(number, ids, positions, seen)
+
+    return run, schema
 
 
 def _deal(buckets: int):
@@ -114,8 +123,8 @@ def _deal(buckets: int):
 
     def run(batches):
         for batch in batches:
-            for block, data, lengths in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "lengths")), strict=True):
-                data, length = _unpack(data, np.uint8), _unpack(lengths, np.int64)
+            for block, data, lengths in zip(*(batch.column(c) for c in ("block", "data", "lengths")), strict=True):
+                block, data, length = block.as_py(), _unpack(data.as_py(), np.uint8), _unpack(lengths.as_py(), np.int64)
                 dealt = _bucket(data, length, buckets)
                 order = np.argsort(dealt, kind="stable")
                 off = np.concatenate(([0], np.cumsum(length)))
@@ -141,7 +150,7 @@ def _deal(buckets: int):
 
 
 def _encode(held):
-    """The words' ids; every distinct word that the task meets is encoded once."""
+    """The words' ids, from rows sorted by bucket; every distinct word of a bucket is encoded once and known as long as its bucket lasts."""
 
     def run(batches):
         import tiktoken
@@ -149,10 +158,14 @@ def _encode(held):
         ranks, pattern = held.value
         piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         known: dict[bytes, list[int]] = {}
+        now = None
         for batch in batches:
             out = [[], []]
-            for data, lengths in zip(batch.column("data").to_pylist(), batch.column("lengths").to_pylist(), strict=True):
-                data, length = _unpack(data, np.uint8).tobytes(), _unpack(lengths, np.int64)
+            for bucket, data, lengths in zip(batch.column("bucket").to_pylist(), batch.column("data"), batch.column("lengths"), strict=True):
+                if bucket != now:
+                    known.clear()
+                    now = bucket
+                data, length = _unpack(data.as_py(), np.uint8).tobytes(), _unpack(lengths.as_py(), np.int64)
                 ids, at = [], 0
                 for n in length.tolist():
                     word = data[at : at + n]
@@ -181,7 +194,7 @@ def _assemble(buckets: int, part: int = 1 << 17):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+                row = {c: batch.column(c)[k].as_py() for c in ("data", "lengths", "found", "counts", "positions")}
                 data, length = _unpack(row["data"], np.uint8), _unpack(row["lengths"], np.int64)
                 order = np.argsort(_bucket(data, length, buckets), kind="stable")
                 found = sorted(row["found"] or [], key=lambda x: x["bucket"])
@@ -191,7 +204,8 @@ def _assemble(buckets: int, part: int = 1 << 17):
                 size[order], first[order] = n, np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
                 counts, positions = _unpack(row["counts"], np.int64), _unpack(row["positions"], np.uint32)
                 of = np.concatenate(([0], np.cumsum(counts)))
-                i = 0
+                del row, found, data, n
+                doc_ids, i = batch.column("ids")[k].values, 0
                 while i < len(counts):
                     j = max(i + 1, int(np.searchsorted(of, of[i] + part, "right")) - 1)
                     ids, ends = _gather(tokens, first, size, positions[of[i] : of[j]])
@@ -199,7 +213,7 @@ def _assemble(buckets: int, part: int = 1 << 17):
                     raw = ids.astype("<u4").tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(row["ids"][i:j], pa.int64()),
+                            doc_ids.slice(i, j - i),
                             pa.array(np.diff(ends)),
                             pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                         ],
@@ -210,31 +224,8 @@ def _assemble(buckets: int, part: int = 1 << 17):
     return run, "doc_id long, n_tokens long, ids binary"
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids) for each row of ``docs`` (doc_id, text). Without ``ranks`` and ``pattern``: the public 50k vocabulary."""
-    if ranks is None or pattern is None:
-        ranks, pattern = public_vocabulary()
-    spark = docs.sparkSession
-    buckets = max(16, min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # both uses below read this one exchange: its rows go to either as they are, all columns
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(*_split(pattern)).repartition(buckets, "block")
-    words = blocks.mapInArrow(*_deal(buckets)).repartition(buckets, "bucket")
-    found = words.mapInArrow(*_encode(spark.sparkContext.broadcast((ranks, pattern)))).repartition(buckets, "block")
-    found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "tokens")).alias("found"))
-    return blocks.join(found.hint("merge"), "block", "left").mapInArrow(*_assemble(buckets))
-
-
-def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """``encoded`` with the bytes of its ``ids`` in decoded (replaced if there); ids outside the vocabulary stand for nothing."""
-    if ranks is None:
-        ranks = public_vocabulary()[0]
-    size = np.zeros(max(ranks.values(), default=0) + 2, np.int64)
-    for token, k in ranks.items():
-        size[k] = len(token)
-    by_id = sorted(ranks, key=ranks.get)
-    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(by_id), np.uint8), size))
-    encoded = encoded.drop("decoded")
-    names, schema = encoded.columns, encoded.withColumn("decoded", F.lit(b"")).schema
+def _decode(held):
+    """Id batches with the bytes of their ids."""
 
     def run(batches):
         data, length = held.value
@@ -245,11 +236,47 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFra
                 for raw in batch.column("ids"):
                     which = np.minimum(np.frombuffer(raw.as_py() or b"", "<u4"), len(length) - 1).astype(np.int64)
                     out.append(_gather(data, first, length, which)[0].tobytes())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return run
+
+
+def _token_bytes(spark, ranks: dict[bytes, int]):
+    """The table of token bytes, flat: all bytes, and each id's number of them; one id more stands for what is no token."""
+    size = np.zeros(max(ranks.values(), default=0) + 2, np.int64)
+    for token, k in ranks.items():
+        size[k] = len(token)
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8), size))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) for each row of ``docs`` (doc_id, text). Without ``ranks`` and ``pattern``: the public 50k vocabulary.
+
+    With ``decoded``, also what ``decode`` makes of the ids, worked out in the task that has them at hand.
+    """
+    if ranks is None or pattern is None:
+        ranks, pattern = public_vocabulary()
+    spark = docs.sparkSession
+    buckets = max(16, min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # both uses below read this one exchange: its rows go to either as they are, all columns
+    blocks = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *_split(pattern)).repartition(buckets, "block")
+    words = map_batches(blocks, *_deal(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = map_batches(words, *_encode(spark.sparkContext.broadcast((ranks, pattern)))).repartition(buckets, "block")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "tokens")).alias("found"))
+    run, schema = _assemble(buckets)
+    if decoded:
+        again, assemble = _decode(_token_bytes(spark, ranks)), run
+        run, schema = (lambda batches: again(assemble(batches))), schema + ", decoded binary"
+    return map_batches(blocks.join(found.hint("merge"), "block", "left"), run, schema)
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
+    """``encoded`` with the bytes of its ``ids`` in decoded (replaced if there); ids outside the vocabulary stand for nothing."""
+    encoded = encoded.drop("decoded")
+    held = _token_bytes(encoded.sparkSession, public_vocabulary()[0] if ranks is None else ranks)
+    return map_batches(encoded, _decode(held), encoded.withColumn("decoded", F.lit(b"")).schema)
 
 
 def op5(spark, sf_dir):
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+    coded = encode(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
