@@ -38,7 +38,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode_bytes(spark, docs, sf_dir):
     """Token ids of every document, and the SHA-256 of the bytes decoded from them."""
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.encode(docs, decoded=True)
     return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
