@@ -16,11 +16,13 @@ and their bytes are compared with the first place's, by grouping on the text its
 there a hash of two texts among them, which hardly ever happens, the bytes of all are
 grouped instead. Only hashes are shuffled, and the text of picked windows, pre-aggregated
 by text in each task. What is to go is joined to the documents, by broadcast up to a
-counted number of documents, else by a shuffle.
+counted number of bytes, else by a shuffle.
 
-A document is known by doc_id and text together: rows equal in both are one document and
-all keep its chunks. Null text stays null. Null ids sort first. Lines end at \\n alone.
-Empty tables give empty results.
+A document is known by doc_id and text together: rows equal in both are one document, of
+which every place is listed once, and all keep what it keeps. Of chunks at equal places
+(ties of doc_id, then of the texts' hash, then of the line) the first in that order stays.
+Null text stays null, an empty text has one empty line. Null ids sort first. Lines end at
+\\n alone. Empty tables give empty results; columns of the operator's names are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.llm import textbatch as tb
-from snapledger.llm.common import cut, join_checked, table
+from snapledger.llm.common import cut, join_checked, map_batches, table
 
 DIVISOR, LONG_WORDS, LEAST_WORDS = 2, 50, 10
 
@@ -138,18 +140,25 @@ def _pick(batches):
 
 
 def _texts(batches):
-    """The text of the chunks listed in ``found`` (hash, line, lines)."""
+    """The text of the chunks listed in ``found`` (hash, line, lines), about a slice of text at a time."""
+    kinds = dict(hash=pa.int64(), chunk=pa.string(), doc_id=pa.int64(), doc_key=pa.int64(), line=pa.int32(), lines=pa.int32())
+    out, size = [], 0
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
     for batch in batches:
-        out = [[], [], [], [], [], []]
-        for doc, key, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_key", "text", "found")), strict=True):
-            rows = text.split("\n")
-            for x in found:
-                for part, value in zip(out, (x["hash"], "\n".join(rows[x["line"] : x["line"] + x["lines"]]), doc, key, x["line"], x["lines"]), strict=True):
-                    part.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())],
-            ["hash", "chunk", "doc_id", "doc_key", "line", "lines"],
-        )
+        for doc, key, text, found in zip(*(batch.column(c) for c in ("doc_id", "doc_key", "text", "found")), strict=True):
+            doc, key, lines = doc.as_py(), key.as_py(), text.as_py().split("\n")
+            for x in found.as_py():
+                chunk = "\n".join(lines[x["line"] : x["line"] + x["lines"]])
+                out.append((x["hash"], chunk, doc, key, x["line"], x["lines"]))
+                size += len(chunk)
+                if size >= tb.SLICE_BYTES:
+                    yield rows()
+                    out, size = [], 0
+    if out:
+        yield rows()
 
 
 def _key():
@@ -159,19 +168,21 @@ def _key():
 def _picked(members: DataFrame) -> DataFrame:
     """The chunks to go that cover the lines of all, out of ``members`` (hash, place, keep)."""
     keep = (F.col("keep")[c].alias(f"keep_{c.removeprefix('doc_')}") for c in ("doc_id", "doc_key", "line", "lines"))
-    lists = members.filter(F.struct("doc_id", "doc_key", "line", "lines") != F.col("keep")).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("hash", "line", "lines", *keep)).alias("found"))
-    return cut(lists.mapInArrow(_pick, "doc_id long, doc_key long, hash long, line int, lines int, keep_id long, keep_key long, keep_line int, keep_lines int, from_line int, n_lines int"))
+    # a set, as equal rows bring the same places
+    lists = members.filter(F.struct("doc_id", "doc_key", "line", "lines") != F.col("keep")).groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("hash", "line", "lines", *keep)).alias("found"))
+    return cut(map_batches(lists, _pick, "doc_id long, doc_key long, hash long, line int, lines int, keep_id long, keep_key long, keep_line int, keep_lines int, from_line int, n_lines int"))
 
 
 def _repeated(docs: DataFrame, mask: int = -1) -> DataFrame:
     """(doc_id, doc_key, line, lines) of all lines to take out; of the hashes, only the bits in ``mask`` count."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key()).filter(F.col("text").isNotNull())
-    found = keyed.mapInArrow(_find(mask), "hash long, " + _PLACE)
+    found = map_batches(keyed, _find(mask), "hash long, " + _PLACE)
     place = F.struct("doc_id", "doc_key", "line", "lines")
 
     def texts_of(places):
-        lists = cut(places.groupBy("doc_key").agg(F.collect_list(F.struct("hash", "line", "lines")).alias("found")))
-        return join_checked(keyed, lists, "doc_key", "inner").select("doc_id", "doc_key", "text", "found").mapInArrow(_texts, "hash long, chunk string, " + _PLACE)
+        lists = cut(places.groupBy("doc_key").agg(F.collect_set(F.struct("hash", "line", "lines")).alias("found")))
+        listed = join_checked(keyed, lists, "doc_key", "inner", 16 + 24 * F.size("found"))
+        return map_batches(listed.select("doc_id", "doc_key", "text", "found"), _texts, "hash long, chunk string, " + _PLACE)
 
     groups = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep")).filter("n > 1")
     members = found.join(groups.select("hash", "keep"), "hash")
@@ -193,7 +204,7 @@ def dedup(docs: DataFrame, mask: int = -1) -> DataFrame:
     lists = cut(_repeated(docs, mask).groupBy("doc_key").agg(F.collect_list(F.struct("line", "lines")).alias("__line_drops")))
     lists = lists.withColumnRenamed("doc_key", "__line_doc")
     keyed = docs.withColumn("__line_doc", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = join_checked(keyed, lists, "__line_doc", "left")
+    joined = join_checked(keyed, lists, "__line_doc", "left", 16 + 16 * F.size("__line_drops"))
     schema = docs.withColumn("lines_total", F.lit(0)).withColumn("lines_removed", F.lit(0)).schema
     names = docs.columns
 
@@ -221,7 +232,7 @@ def dedup(docs: DataFrame, mask: int = -1) -> DataFrame:
             columns = [text if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(removed)], [*names, "lines_total", "lines_removed"])
 
-    return joined.select(*names, "__line_drops").mapInArrow(run, schema)
+    return map_batches(joined.select(*names, "__line_drops"), run, schema)
 
 
 def op4(spark, sf_dir):
