@@ -13,13 +13,18 @@ text; the least density on the way from it up to the body is the threshold, and
 neighbour beside that way that reaches it brings its own largest-sum subtree. Inline
 elements count as tags of the block they stand in, but are not nodes to be chosen.
 
-Left out before densities are taken: scripts, styles and other raw elements, navigation,
-page parts named as header, footer, sidebar, advert, notice, form or comments by their
-element, role, class or id. If that leaves no text, only raw elements are left out.
+Left out before densities are taken: scripts, styles and other raw elements, hidden
+ones, and page parts that their element, role, class or id names as navigation, header,
+footer, sidebar, advert, notice, form or comments. A part with more than half of the
+page's text that holds its main heading or an article is the page, whatever its name. A
+name that only mentions such a part (``page-with-footer-nav``) leaves it out if the part
+is mostly links or has at most a quarter of the page's text. If all that leaves no text,
+only raw elements are left out.
 
 White space in a block becomes one space, character references are decoded, blocks are
-joined by \\n. Null or empty html gives an empty text. Nothing is cut off: the work is
-linear in the page. Rows are independent; empty tables give empty results.
+joined by \\n. Null or empty html gives an empty text. Of nodes of equal sums the first is
+taken. Nothing is cut off: the work is linear in the page. Rows are independent, equal or
+not; null ids and urls stay; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import table
+from snapledger.llm.common import map_batches, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute from where the last one ended: its name, and its value in any quotes.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|[^\s/>]""")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,53 +59,67 @@ _WORDS = frozenset(
 )
 #: Words beside them that name the article all the same.
 _MAIN = frozenset("article content main body post entry story text".split())
+#: Words before them that say what something has or lacks, and after them that say so too.
+_ABOUT = frozenset("has have with no not non without hide hides hidden show shows is are enable enabled disable disabled".split())
+_STATE = frozenset("free enabled disabled hidden visible open opened closed active inactive off on wrap wrapper wrapped container layout template page root theme".split())
+#: Words beside them that do not change what is named.
+_PLACE = frozenset("site page global top bottom left right upper lower primary secondary inner outer list area section block box bar panel item items links link thread form container wrap wrapper reader user blog the of a".split())
+_HEADS = frozenset("h1 article main".split())
 _CLOSED_BY = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _SCOPE = frozenset("ul ol dl table body html".split())
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in _NAMED:
-        return True
-    if tag in ("body", "html", "article", "main") or not attributes:
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
+def _named(token: str) -> int:
+    """What a class or id says of its element: 2 that it is a part to leave out, 1 that it has to do with one, 0 neither."""
+    pieces = [p.lower() for p in _PIECE.findall(token)]
+    if not _WORDS.intersection(pieces) or _MAIN.intersection(pieces) or pieces[0] in _ABOUT or pieces[-1] in _STATE - _PLACE:
+        return 0
+    return 2 if all(p in _WORDS or p in _PLACE or p.isdigit() for p in pieces) and pieces[-1] not in _STATE else 1
+
+
+def _doubt(tag: str, attributes: str) -> int:
+    """3: hidden; 2: an element named as a part to leave out; 1: one with such a word in its name; 0: neither."""
+    found = 2 if tag in _NAMED else 0
+    if tag in ("body", "html", "article", "main") or not attributes.strip():
+        return found
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 3
         if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id"):
-            for token in value.split():
-                pieces = {p.lower() for p in _PIECE.findall(token)}
-                if pieces & _WORDS and not pieces & _MAIN:
-                    return True
-    return False
+            found = 2
+        elif name in ("class", "id"):
+            found = max([found, *map(_named, value.split())])
+    return found
 
 
 class _Tree:
     """Nodes in page order; ``stream`` has texts and breaks (None) with their node."""
 
     def __init__(self, page: str, prune: bool):
-        self.tag, self.parent, self.dropped, self.last = ["html"], [0], [False], [0]
+        self.tag, self.parent, self.dropped, self.last, self.doubt = ["html"], [0], [False], [0], [0]
         self.stream: list[tuple[int, str | None]] = []
         self.at = [0]
-        stack, open_tags, pos, end = [0], {"html": 1}, 0, len(page)
+        # where: the depths at which each tag, and at "" any block, is open
+        stack, where, pos, end = [0], {"html": [0], "": [0]}, 0, len(page)
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 k = stack.pop()
-                open_tags[self.tag[k]] -= 1
+                where[self.tag[k]].pop()
                 self.last[k] = len(self.tag) - 1
                 if self.tag[k] in _BLOCK:
+                    where[""].pop()
                     self.stream.append((k, None))
 
-        def up_to(tags: frozenset, scope: frozenset) -> None:
-            for d in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[d]]
-                if t in tags:
-                    return close(d)
-                if t in scope:
-                    return
+        def depth_of(tag: str) -> int:
+            depths = where.get(tag)
+            return depths[-1] if depths else -1
+
+        def up_to(tag: str, scope: frozenset) -> None:
+            d = depth_of(tag)
+            if d > 0 and all(depth_of(t) < d for t in scope if t != tag):
+                close(d)
 
         while pos < end:
             m = _TOKEN.search(page, pos)
@@ -114,30 +134,25 @@ class _Tree:
                 continue
             tag = tag.lower()
             if slash:
-                if open_tags.get(tag):
-                    for d in range(len(stack) - 1, 0, -1):
-                        t = self.tag[stack[d]]
-                        if t == tag:
-                            close(d)
-                            break
-                        if t in _BLOCK and tag not in _BLOCK:
-                            break
+                d = depth_of(tag)
+                if d > 0 and (tag in _BLOCK or depth_of("") < d):
+                    close(d)
                 continue
-            if tag in ("html", "body") and open_tags.get(tag):
+            if tag in ("html", "body") and where.get(tag):
                 continue
-            if tag == "body" and open_tags.get("head"):
-                up_to(frozenset(("head",)), frozenset())
-            if tag in _BLOCK and open_tags.get("p"):
-                up_to(frozenset(("p",)), _SCOPE)
-            if tag in _CLOSED_BY and any(open_tags.get(t) for t in _CLOSED_BY[tag].split()):
-                for t in _CLOSED_BY[tag].split():
-                    if open_tags.get(t):
-                        up_to(frozenset((t,)), _SCOPE - {"body", "html"})
+            if tag == "body":
+                up_to("head", frozenset())
+            if tag in _BLOCK:
+                up_to("p", _SCOPE)
+            for t in _CLOSED_BY.get(tag, "").split():
+                up_to(t, _SCOPE - {"body", "html"})
             k, above = len(self.tag), stack[-1]
             self.tag.append(tag)
             self.parent.append(above)
             self.last.append(k)
-            self.dropped.append(self.dropped[above] or tag in _RAW or (prune and _left_out(tag, attributes)))
+            doubt = _doubt(tag, attributes) if prune else 0
+            self.doubt.append(doubt)
+            self.dropped.append(self.dropped[above] or tag in _RAW or doubt == 3)
             self.at.append(len(self.stream))
             if tag in _BLOCK:
                 self.stream.append((k, None))
@@ -150,9 +165,34 @@ class _Tree:
                     pos = page.find(">", pos) + 1 or end
                 continue
             if tag not in _VOID and not attributes.endswith("/"):
+                where.setdefault(tag, []).append(len(stack))
+                if tag in _BLOCK:
+                    where[""].append(len(stack))
                 stack.append(k)
-                open_tags[tag] = open_tags.get(tag, 0) + 1
         close(0)
+        if prune:
+            self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Drop the parts that their names give away, with what is below them."""
+        n = len(self.tag)
+        chars, links, heads, in_link = [0] * n, [0] * n, [0] * n, [False] * n
+        for k in range(1, n):
+            in_link[k] = self.tag[k] == "a" or in_link[self.parent[k]]
+        for k, text in self.stream:
+            if text and not self.dropped[k]:
+                size = len(text.strip())
+                chars[k] += size
+                links[k] += size if in_link[k] else 0
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            chars[p] += chars[k]
+            links[p] += links[k]
+            heads[p] += heads[k] + (self.tag[k] in _HEADS and not self.dropped[k])
+        for k in range(1, n):
+            doubt, most = self.doubt[k], 2 * chars[k] > chars[0]
+            sure = doubt == 2 and not (most and heads[k])
+            self.dropped[k] = self.dropped[k] or self.dropped[self.parent[k]] or sure or (doubt == 1 and not most and (4 * chars[k] <= chars[0] or 2 * links[k] > chars[k]))
 
     def content(self) -> list[int]:
         """The nodes whose subtrees are the main text, in page order."""
@@ -237,10 +277,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "main_text"])
 
-    return pages.mapInArrow(run, schema)
+    return map_batches(pages, run, schema)
 
 
 def op9(spark, sf_dir):
