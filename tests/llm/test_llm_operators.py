@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from snapledger.llm import ann, bpe, htmltext, jaccard, langid, linededup, mixing, order_minhash, quality, toxicity
+from snapledger.llm import ann, bpe, common, htmltext, jaccard, langid, linededup, mixing, order_minhash, quality, queries, toxicity
 from snapledger.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, lines_total string, mix_size string"
@@ -69,6 +70,43 @@ def test_order_minhash(spark):
     assert order_minhash.with_next(order_minhash.sketches(d.limit(0), "text", "sketch")).count() == 0
 
 
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(17)
+    for size in [4, 5, 6, 8, 9, 13, 17, 33, 63, 64, 65, 70, 128, 150, 257, 300, 513, 900, 2000]:
+        for _ in range(12):
+            a = np.unique(rng.integers(0, 1 << 62, size)).astype(np.uint64)
+            # a similar set: elements leave and others come as far as 4/5 allows
+            gone = rng.integers(0, len(a) // 5 + 1)
+            come = rng.integers(0, int((len(a) - gone) / 0.8 - len(a)) + 1) if gone else rng.integers(0, len(a) // 4 + 1)
+            b = np.sort(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 62, come).astype(np.uint64))))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both >= 80 * (len(a) + len(b) - both)
+            common = np.sort(rng.permutation(a)[: rng.integers(0, len(a) + 1)])
+            sig, of = jaccard.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), common)
+            assert len(a) == both == len(b) or set(sig[of == 0]) & set(sig[of == 1]), size
+            values, base = jaccard.parities(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+            longs = min(np.diff(base))
+            p, q = (np.bitwise_xor.reduce(values[i:j].reshape(-1, longs), axis=0) for i, j in zip(base[:-1], base[1:], strict=True))
+            assert 9 * sum(int(x).bit_count() for x in (p ^ q).view(np.uint64)) <= len(a) + len(b)
+
+
+def test_signatures_are_tied_across_batches(monkeypatch):
+    rng = random.Random(18)
+    rows = sorted({(rng.randrange(40), rng.randrange(1 << 40)) for _ in range(120)} | {(7, k) for k in range(90)} | {(60, 5), (60, 6), (61, 5), (61, 6)})
+    rows = [r for r in rows for _ in range(rng.choice([1, 1, 2]))]
+    for whole in (4096, 20):
+        monkeypatch.setattr(jaccard, "WHOLE", whole)
+        batches = [pa.RecordBatch.from_pylist([dict(sig=a, node=b) for a, b in rows[i : i + 13]], pa.schema([("sig", pa.int64()), ("node", pa.int64())])) for i in range(0, len(rows), 13)]
+        got = collections.defaultdict(set)
+        for b in jaccard._tie(iter(batches)):
+            for r in b.to_pylist():
+                got[r["grp"]].add(r["node"])
+        want = collections.defaultdict(set)
+        for a, b in rows:
+            want[a].add(b)
+        assert sorted(map(sorted, got.values())) == sorted(map(list, {tuple(sorted(x)) for x in want.values() if len(x) > 1}))
+
+
 def plain_classes(texts):
     sets = []
     for t in texts:
@@ -139,6 +177,8 @@ def test_bpe_equals_library(spark):
     for i, t in enumerate(texts):
         assert np.frombuffer(out["ids"][i], "<u4").tolist() == plain.encode_ordinary(t or "") and out["decoded"][i] == (t or "").encode()
     assert bpe.encode(docs(spark, []).limit(0)).count() == 0
+    same = bpe.encode(docs(spark, texts), decoded=True).toPandas().set_index("doc_id")
+    assert all(same["decoded"][i] == out["decoded"][i] and same["ids"][i] == out["ids"][i] for i in range(len(texts)))
 
 
 def test_repeated_passages_go_once(spark):
@@ -187,11 +227,14 @@ def test_passages_of_short_lines_go_whole(spark, mask):
     assert linededup.cover([0, 1, 2, 9], [3, 4, 5, 10]) == [0, 2, 3]
 
 
-def test_same_hash_different_text(spark, monkeypatch):
-    monkeypatch.setattr(linededup.tb, "span_hashes", linededup.tb.span_hashes)
-    data = "\n".join(["a b c", "d e f"]).encode()
-    row, line, lines, h, start, end = linededup.chunks(np.frombuffer(data, np.uint8), np.array([0, len(data)]), long_words=2)
-    assert list(lines) == [1, 1] and h[0] != h[1] and [data[a:b] for a, b in zip(start, end, strict=True)] == [b"a b c", b"d e f"]
+def test_same_hash_different_text(spark):
+    # all windows and chunks have one hash: only the comparison of their bytes tells them apart
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    texts = [f"{prose(rng, 55)}\n{passage}\n{prose(rng, 52)}" for _ in range(4)] + [prose(rng, 58) for _ in range(4)]
+    out = linededup.dedup(docs(spark, texts), 0).toPandas().set_index("doc_id").sort_index()
+    for d, t in enumerate(texts):
+        assert out["text"][d] == (t if d in (0, 4, 5, 6, 7) else t.replace(passage + "\n", ""))
 
 
 def held(i):
@@ -280,6 +323,27 @@ def test_nearest_equals_brute_force(spark):
     assert ann.nearest(v.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_recall_where_little_is_compared(spark):
+    rng = np.random.default_rng(14)
+    x = (rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] * 3 + rng.normal(size=(6000, 32)) * 0.6).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    points = ann.distinct_points(ann.valid(v), 10)
+    forest = ann.plant(points, 12, 40, 3000)
+    leaves = forest.leaves_of(x)
+    held = np.bincount(leaves.ravel(), minlength=forest.leaves)
+    queries = v.filter("vec_id % 60 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    deep = max(300, ann.enough(points, queries, forest, held, 10))
+    compared = [np.isin(leaves, forest.search(x[q], held, deep)).any(axis=1).sum() for q in range(0, 6000, 60)]
+    assert np.mean(compared) < 600
+    got = ann.nearest(v, F.col("vec_id") % 60 == 0, trees=12, leaf=40, search=300, sample=3000).toPandas()
+    found = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        found += len(set(g["vec_id"]) & set(np.argsort(d)[:10]))
+    assert found >= 0.9 * 10 * 100 and got["query_id"].nunique() == 100
+
+
 def test_search_grows_until_neighbours_are_found(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(3000, 32)).astype(np.float32)
@@ -301,6 +365,24 @@ def test_main_text(page, want):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize("attribute", [
+    'style="overflow:hidden"', 'data-hidden="false"', 'data-id="share"', 'data-class="widget"', 'title="x id=comments"', 'class="has-sidebar"', "class='with-sidebar'", "class=no-header",
+    'class="ad-free"', 'class="elementor-widget-wrap"', 'class="page-wrapper sidebar-right-layout"', 'id="header-main-wrapper"', """data-x='a "class=nav' class='story'""", 'class="single-post sidebar-widget-area-on"',
+])
+def test_names_of_other_things_leave_the_article(attribute):
+    article = [f"Paragraph {i} of the article has quite a few words to read in it, all told." for i in range(6)]
+    page = f"<body><div class=byline><a href=x>By A. Writer</a></div><div {attribute}>{''.join(f'<p>{p}</p>' for p in article)}</div><div class=sidebar><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class='comment-list'><p>I like this one a lot really</p></div>"
+    text = htmltext.main_text(page)
+    assert text.split("\n")[-6:] == article and "One" not in text and "I like" not in text
+
+
+def test_large_parts_and_small_ones(spark):
+    body = "".join(f"<p>Paragraph {i} of the article has quite a few words to read in it.</p>" for i in range(5))
+    assert htmltext.main_text(f"<form id=aspnetForm><h1>T</h1>{body}</form>").count("Paragraph") == 5
+    assert "said" not in htmltext.main_text(f"<article><p>Short article of some words only.</p></article><div class=comments>{'<p>someone said a lot of things here again</p>' * 9}</div>")
+    assert htmltext.main_text("<div hidden><p>gone</p></div><p>here it is</p><p aria-hidden=true>gone too</p>") == "here it is"
+
+
 def test_extract_keeps_rows(spark):
     d = spark.createDataFrame([(1, None, "u", "k"), (2, "<p>x", None, "k"), (2, "<p>x", None, "k")], "page_id long, html string, url string, main_text string")
     assert [(r["page_id"], r["main_text"]) for r in htmltext.extract(d).orderBy("page_id").collect()] == [(1, ""), (2, "x"), (2, "x")]
@@ -344,3 +426,178 @@ def test_same_results_again(spark, sf_dir):
     digest = lambda df: hashlib.sha256(repr(sorted(map(tuple, df.collect()))).encode()).hexdigest()
     a, b = (mixing.mix(x).select("doc_id", "mix_copies") for x in (d, d.repartition(7)))
     assert digest(a) == digest(b)
+
+
+def repeated(spark, extra="source string, lang string"):
+    """2,000 equal rows, 50 with null ids, nulls and odd texts."""
+    rng = random.Random(19)
+    same = "\n".join(prose(rng, 12) for _ in range(20))
+    rows = [(7, same, "a", "en")] * 2000 + [(None, prose(rng, 30), "b", None) for _ in range(50)] + [(k, t, None, "de") for k, t in enumerate(odd(rng), 10)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, {extra}").repartition(4), len(rows), same
+
+
+def test_repeated_rows_and_null_ids(spark):
+    d, n, same = repeated(spark)
+    labels = spark.createDataFrame([(7, 1), (10, 0), (13, 0), (15, 1), (16, 0), (None, 1), (13, 5)], "doc_id long, mark int")
+    for out in [
+        langid.identify(d, langid.learn(d)),
+        jaccard.classes(d),
+        toxicity.score(d, toxicity.fit(d, labels, "mark")),
+        linededup.dedup(d),
+        bpe.decode(bpe.encode(d)),
+        mixing.mix(d),
+        order_minhash.with_next(order_minhash.sketches(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch"), rows=300),
+        quality.score(d, quality.learn(d, labels, "mark")),
+    ]:
+        assert out.count() == n
+    text = linededup.dedup(d).filter("doc_id = 7").select("text").distinct().collect()
+    assert [r["text"] for r in text] == [same]
+    kept = jaccard.representatives(d)
+    assert kept.filter("doc_id = 7").count() == 1 and kept.filter("doc_id IS NULL").count() == 50
+
+
+def test_samples_are_bounded(spark):
+    d = spark.range(4000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("x").alias("label"))
+    got = common.learning_texts(d, {"x": 4000}, 300, 100, 1 << 20)
+    assert 200 < got.num_rows < 400
+    assert common.learning_texts(d, {"x": 4000}, 300, 100, 400).num_rows < 60
+    same = common.learning_texts(d.withColumn("text", F.lit("same " * 100)), {"x": 4000}, 8000, 20, 1 << 20).to_pylist()
+    assert same == [{"text": ("same " * 100)[:20], "label": "x", "n": 4000}]
+
+
+def test_language_counts_equal_sets():
+    rng = random.Random(22)
+    samples = {k: [" ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(30)) for _ in range(5)] for k, s in {"xx": "abcd", "yy": "cdef"}.items()}
+    langs, masks, wrong = langid.build({k: pa.array(v) for k, v in samples.items()})
+
+    def grams(t):
+        t = " " + re.sub("[^a-z]", " ", t.lower()) + " " * langid.N
+        return [t[i : i + langid.N] for i in range(len(t) - langid.N + 1) if t[i : i + langid.N].strip() and i <= len(t) - langid.N - 1]
+
+    count = {k: collections.Counter(g for t in v for g in grams(t)) for k, v in samples.items()}
+    rate = {k: {g: n / c.total() for g, n in c.items()} for k, c in count.items()}
+    kept = {k: {g for g in r if r[g] >= langid.SHARE * max(x.get(g, 0) for x in rate.values())} for k, r in rate.items()}
+    texts = ["abca cdcd efef", "bacd", "fedc fedc", "x"]
+    got = langid.counts(*langid.tb.flat(pa.array(texts)), masks, wrong)
+    for i, t in enumerate(texts):
+        for j, k in enumerate(langs):
+            inside = sum(g in kept[k] for g in grams(t))
+            assert abs(got[i, j] - max(0, inside - len(grams(t)) * wrong[j]) / (1 - wrong[j])) < 0.01
+
+
+def test_toxicity_probabilities(spark):
+    rows = [("a b c a b d", 1), ("a b c x", 1), ("a b c a b d", 0), ("x y z x y w", 0), ("y a z", 0), ("q a q b q c q d", 0), ("r a s a t a u a", 1)]
+    ratio = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    before = collections.defaultdict(lambda: (set(), set()))
+    for t, label in rows:
+        last = None
+        for w in t.split():
+            before[w][label].add(last)
+            last = w
+    one, zero = ({w: float(len(b[k])) for w, b in before.items()} for k in (1, 0))
+    n1, n0 = sum(one.values()), sum(zero.values())
+    left = lambda c: max(0.0, c - toxicity.CHANCE * c**0.5)
+    shared = {w: (one[w] + zero[w] + 0.5) / (n1 + n0 + 0.5 * len(one)) for w in one}
+    p1, p0 = ({w: left(c[w]) / n + (n - sum(map(left, c.values()))) / n * shared[w] for w in c} for c, n in ((one, n1), (zero, n0)))
+    assert abs(sum(p1.values()) - 1) < 1e-12 and abs(sum(p0.values()) - 1) < 1e-12
+    for w in one:
+        h, _ = toxicity.tb.word_hashes(*toxicity.tb.flat(pa.array([w])))
+        assert abs(ratio[int(h[0] >> np.uint64(64 - toxicity.SLOT_BITS))] - np.log(p1[w] / p0[w])) < 1e-6, w
+
+
+def test_order_minhash_equals_plain(spark):
+    rng = random.Random(23)
+    texts = ["a b c a b c a b c d", prose(rng, 300), prose(rng, 40), "one two", "one", "", "x y z", "a b c " * 30]
+    got = [r["s"] for r in order_minhash.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "s").orderBy("doc_id").collect()]
+
+    def hashed(values, schema):
+        """Spark's hash of each distinct tuple."""
+        values = sorted(set(values), key=repr)
+        df = spark.createDataFrame(values, schema)
+        return dict(zip(values, (r[0] for r in df.coalesce(1).select(F.xxhash64(*df.columns)).collect()), strict=True))
+
+    signed = lambda x: (x & (1 << 64) - 1) - ((x & 1 << 63) << 1)
+    kmers = []
+    for t in texts:
+        w = t.split()
+        kmers.append([tuple((w[i : i + 3] + [None] * 3)[:3]) for i in range(max(1, len(w) - 2))] if w else [])
+    first = hashed([g for t in kmers for g in t], "a string, b string, c string")
+    low = (1 << 36) - 1
+    times = hashed([(first[g] & low, o) for t in kmers for g, n in collections.Counter(t).items() for o in range(n)], "h long, o int")
+    tuples, want = [], []
+    for t in kmers:
+        seen, all_ = collections.Counter(), []
+        for i, g in enumerate(t):
+            h = first[g] if not seen[g] else times[(first[g] & low, seen[g] - 1)]
+            seen[g] += 1
+            all_.append((signed(h << 28 | i), i, h & low))
+        by_sketch = collections.defaultdict(list)
+        for x, i, h in sorted(all_):
+            by_sketch[(x & (1 << 64) - 1) >> 59].append((i, h))
+        want.append({k: tuple(h for _, h in sorted(v[:2])) for k, v in by_sketch.items()})
+        tuples += want[-1].values()
+    ends = {v: r for v, r in zip(tuples, (r[0] for r in spark.createDataFrame([(list(v),) for v in tuples], "v array<long>").coalesce(1).select(F.xxhash64("v")).collect()), strict=True)}
+    for s, w in zip(got, want, strict=True):
+        assert sorted(s) == sorted(signed(k << 32 | (ends[v] & (1 << 64) - 1) >> 32) for k, v in w.items())
+
+
+OPERATORS = {
+    "op1_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op2_jaccard_join": ["doc_id", "n_shingles", "component_id"], "op3_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op4_line_dedup": ["doc_id"], "op5_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op6_source_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op7_order_minhash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], "op10_quality": ["doc_id", "held_out", "score", "predicted"],
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_queries_over_documents(spark, sf_dir, name):
+    import tiktoken
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().sort_values("doc_id")
+    out = queries.QUERIES[name](spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert list(out["doc_id"]) == list(d["doc_id"]) and set(OPERATORS[name]) <= set(out.columns)
+    text = [t or "" for t in d["text"]]
+    if "held_out" in out:
+        assert list(out["held_out"]) == [held(i) for i in d["doc_id"]] and out["score"].between(0, 1).all()
+    if "predicted" in out:
+        least = {"op3_toxicity": 0.3, "op10_quality": 0.7}[name]
+        assert list(out["predicted"]) == [int(s >= least) for s in out["score"]]
+    if name.startswith("op1_"):
+        known = d["lang"].notna().to_numpy() & out["held_out"].to_numpy()
+        assert set(out["lang_pred"]) <= {*d["lang"].dropna(), "und"} and (out["lang_pred"].to_numpy() == d["lang"].to_numpy())[known].mean() > 0.9
+    if name.startswith("op2_"):
+        ids = list(d["doc_id"])
+        assert list(zip(out["n_shingles"], out["component_id"], strict=True)) == [(n, ids[c]) for n, c in plain_classes(text)]
+    if name.startswith("op5_"):
+        ranks, pattern = bpe.public_vocabulary()
+        plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ids = [np.array(plain.encode_ordinary(t), "<u4") for t in text]
+        assert list(out["n_tokens"]) == list(map(len, ids)) and list(out["ids_sha256"]) == [hashlib.sha256(i.tobytes()).hexdigest() for i in ids]
+        assert list(out["decoded_sha256"]) == [hashlib.sha256(t.encode()).hexdigest() for t in text]
+    if name.startswith("op7_"):
+        edited = [t[: len(t) - len(t) // 3] + text[i - 1][: len(t) // 3] for i, t in enumerate(text)]
+        assert list(out["edited_sha256"]) == [hashlib.sha256(t.encode()).hexdigest() for t in edited] and list(out["n_chars"]) == list(map(len, text))
+
+
+def test_query_over_embeddings_and_pages(spark, sf_dir):
+    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    m = np.array([np.array(v, float) if v is not None else np.full(64, np.nan) for v in x["embedding"]])
+    ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+    ids, m = x["vec_id"].to_numpy()[ok], m[ok]
+    out = queries.QUERIES["op8_nearest_neighbours"](spark, sf_dir).toPandas()
+    found = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        g = out[out["query_id"] == q].sort_values("rank")
+        assert list(g["rank"]) == list(range(1, 11)) and np.allclose(g["score"], [d[ids == v][0] for v in g["vec_id"]], rtol=1e-12)
+        found, total = found + len(set(g["vec_id"]) & set(ids[np.lexsort((ids, d))[:10]])), total + 10
+    assert found >= 0.9 * total > 0
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    out = queries.QUERIES["op9_html_text"](spark, sf_dir).toPandas()
+    assert len(out) == pages and list(out["n_chars"]) == list(map(len, out["text"]))
+
+
+def test_mixing_equals_sql(spark, duck, sf_dir):
+    got, want = queries.QUERIES["op6_source_mixing"](spark, sf_dir).toPandas(), duck.sql(queries.SQL["op6_source_mixing"]).df()
+    key = ["doc_id", "size", "source_size", "taken"]
+    assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, want[key].values))
