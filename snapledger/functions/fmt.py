@@ -56,3 +56,33 @@ def whole_tb(bytes_: Column) -> Column:
 
 def free_class(free_gb: Column, warning: int = 500, critical: int = 200) -> Column:
     return F.when(free_gb < critical, F.lit("CRITICAL")).when(free_gb < warning, F.lit("WARNING")).otherwise(F.lit("OK"))
+
+
+def quota(total: Column, used: Column, warning: int = 500, critical: int = 200) -> Column:
+    """Of bytes in all and used: whole GB of each, TB with one decimal of the free GB, and the class of what is free."""
+    gb = lambda c: F.floor(c / F.lit(float(1024**3))).cast("long")
+    free = gb(total - used)
+    return F.struct(gb(total).alias("total_gb"), gb(used).alias("used_gb"), free.alias("free_gb"), F.format_string("%.1f", F.bround(free / 1024, 1)).alias("free_tb"), free_class(free, warning, critical).alias("state"))
+
+
+def disk_class(used_percent: Column, warning: int = 10, critical: int = 5) -> Column:
+    """Class of a disk by its free percentage."""
+    return free_class(100 - used_percent, warning, critical)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The text, or its first ``most`` characters and an ellipsis."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
+
+
+def title(name: Column) -> Column:
+    """A service's name with blanks for hyphens and each word's first letter in upper case."""
+    return F.array_join(F.transform(F.split(name, "[- ]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+
+
+def row_form(is_folder: Column, name: Column, folderid: Column, fileid: Column, parent: Column) -> Column:
+    """A listing entry as a row: type, name (a nameless folder is the root), id, parent."""
+    return F.struct(
+        F.when(is_folder, "FOLDER").otherwise("FILE").alias("type"), F.when(is_folder & (F.coalesce(name, F.lit("")) == ""), "/").otherwise(F.coalesce(name, F.lit(""))).alias("name"),
+        F.when(is_folder, folderid).otherwise(fileid).alias("id"), parent.alias("parent"),
+    )

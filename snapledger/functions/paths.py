@@ -96,3 +96,8 @@ def safe_under_base(c: Column) -> Column:
 def file_id(c: Column) -> Column:
     """'f123' -> 123; what is not a number -> 0."""
     return F.coalesce(F.regexp_replace(c, "^f+", "").try_cast("bigint"), F.lit(0))
+
+
+def valid_snapshot(c: Column) -> Column:
+    """Whether a name is a snapshot's: a date, then a time after one hyphen or two underscores."""
+    return F.coalesce(F.regexp_like(c, F.lit(r"^\d{4}-\d{2}-\d{2}(-\d{6}|__\d{2}-\d{2}-\d{2})$")), F.lit(False))

@@ -90,3 +90,9 @@ def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last event of each key: append-only events folded into a state."""
     cols = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def backfilled(runs: DataFrame, name: str, prefix: str = "backfill-") -> DataFrame:
+    """Of the runs whose ``name`` begins with ``prefix``: how many, how many successful and failed."""
+    t = runs.filter(F.startswith(name, F.lit(prefix)))
+    return t.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "SUCCESS").alias("success"), F.count_if(F.col("status") == "FAILED").alias("failed"))

@@ -30,7 +30,8 @@ def holders_after_run(items: DataFrame, index_holders: DataFrame, policy: str =
     rows = with_hash(items)
     if policy == "first_inode_only":
         key = F.when(F.col("dev").isNotNull() & F.col("ino").isNotNull(), F.concat_ws(":", "dev", "ino"))
-        first = F.row_number().over(Window.partitionBy("snapshot", key).orderBy("ord"))
+        # rows without inode stand alone, each under its own path, and not together in one task
+        first = F.row_number().over(Window.partitionBy("snapshot", F.coalesce(key, F.concat(F.lit("/"), F.col("relpath")))).orderBy("ord"))
         rows = rows.withColumn("nth", F.when(key.isNull(), 1).otherwise(first)).filter("nth = 1").drop("nth")
     return rows.join(held, ["sha256", "snapshot", "relpath"], "left_anti").select("sha256", "snapshot", "relpath")
 
@@ -112,3 +113,13 @@ def classify_holders(holders: DataFrame, manifests: DataFrame) -> DataFrame:
         .when(F.col("exact").isNull(), "path_mismatch").otherwise("ok")
     )
     return j.select("sha256", "snapshot", "relpath", verdict.alias("verdict"), F.when(verdict == "path_mismatch", F.col("first_path")).alias("repaired_path"))
+
+
+def set_missing_anchors(nodes: DataFrame, holders: DataFrame, root: str, reset: bool = False) -> DataFrame:
+    """``nodes`` (sha256, anchor_path, fileid, remote_hash) with blank anchors set to the place of the oldest holder that names snapshot
+    and path; with ``reset``, as after a repair that changed holders, all fileids and hashes are taken away to be looked up anew."""
+    named = holders.filter("coalesce(snapshot, '') <> '' AND coalesce(relpath, '') <> ''")
+    oldest = named.groupBy("sha256").agg(F.min_by(F.concat_ws("/", F.lit(root), "snapshot", "relpath"), F.struct("snapshot", "pos")).alias("oldest"))
+    blank = F.coalesce("anchor_path", F.lit("")) == ""
+    keep = lambda c: F.when(F.lit(not reset), F.col(c)).alias(c)
+    return nodes.join(oldest, "sha256", "left").select("sha256", F.when(blank, F.col("oldest")).otherwise(F.col("anchor_path")).alias("anchor_path"), keep("fileid"), keep("remote_hash"), (blank & F.col("oldest").isNotNull()).alias("was_set"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +35,8 @@ def template_choice(manifest: DataFrame, template: DataFrame, min_overlap: float
 
 def _seen_inode(rows: DataFrame) -> Column:
     key = F.when(F.col("dev").isNotNull() & F.col("ino").isNotNull(), F.concat_ws(":", "dev", "ino"))
-    first = F.row_number().over(Window.partitionBy("snapshot", key).orderBy("ord"))
+    # rows without inode stand alone, each under its own path, and not together in one task
+    first = F.row_number().over(Window.partitionBy("snapshot", F.coalesce(key, F.concat(F.lit("/"), F.col("relpath")))).orderBy("ord"))
     return F.when(key.isNotNull() & (first > 1), True).otherwise(False)
 
 
@@ -170,12 +173,32 @@ def parents(paths: DataFrame, folders: DataFrame) -> DataFrame:
     return j.select("dir", "folderid", P.depth(F.col("dir")).cast("long").alias("depth"), F.when(F.col("folderid").isNull(), "ensure_path").otherwise("known").alias("action"))
 
 
-def unique_names(names: DataFrame) -> DataFrame:
-    """Repeated names get a number before the extension, the first keeps its own."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1
+def unique_names(names: DataFrame, present: DataFrame | None = None, tag: str | None = None) -> DataFrame:
+    """A name of its own for each row of ``names`` (ord, name), none of them in ``present`` (name).
+
+    The first row of a name that is free keeps it; the others get ``base (n).ext``, or
+    ``base (n) [tag].ext``, with the smallest numbers whose name neither stands among the
+    names given nor in ``present``. Numbers as many as rows and names of that form are
+    tried for each name, by an anti join.
+    """
+    taken = names.select("name") if present is None else names.select("name").union(present.select("name"))
+    taken = taken.distinct()
     ext = F.coalesce(P.ext(F.col("name")), F.lit(""))
     base = F.substring(F.col("name"), F.lit(1), F.length("name") - F.length(ext))
-    return names.withColumn("n", n).select("ord", "name", F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat(base, F.lit(" ("), F.col("n"), F.lit(")"), ext)).alias("unique_name"))
+    there = F.lit(0) if present is None else F.coalesce(F.col("there"), F.lit(0))
+    rows = names if present is None else names.join(present.select("name", F.lit(1).alias("there")).distinct(), "name", "left")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("ord")) - 1 + there)
+    wanted = rows.groupBy("name").agg(F.max("nth").alias("most")).filter("most > 0").withColumn("base", base).withColumn("ext", ext)
+    suffix = F.lit(f" [{tag}]" if tag else "")
+    # names of the form that stand in the way, counted by what they would number
+    form = r"^(.*) \((\d+)\)" + (rf" \[{re.escape(tag)}\]" if tag else "") + r"(\.[^.]*)?$"
+    numbered = taken.filter(F.regexp_like("name", F.lit(form))).select(F.concat(F.regexp_extract("name", form, 1), F.regexp_extract("name", form, 3)).alias("name"))
+    blocked = numbered.groupBy("name").agg(F.count(F.lit(1)).alias("blocked"))
+    tried = wanted.join(blocked, "name", "left").select("name", "most", "base", "ext", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most") + F.coalesce("blocked", F.lit(0)))).alias("n"))
+    tried = tried.withColumn("unique_name", F.concat("base", F.lit(" ("), F.col("n"), F.lit(")"), suffix, "ext"))
+    free = tried.join(taken.select(F.col("name").alias("unique_name")), "unique_name", "left_anti")
+    free = free.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("n"))).select("name", "nth", "unique_name")
+    return rows.join(free, ["name", "nth"], "left").select("ord", "name", F.coalesce("unique_name", "name").alias("unique_name"))
 
 
 def upsert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -188,3 +211,40 @@ def purge(runs: DataFrame, phases: DataFrame, as_of: str, days: int) -> DataFram
     old = runs.filter(F.col("started_at") < F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {days} DAY")).select("run_id")
     n = old.agg(F.count(F.lit(1)).alias("n")).select(F.lit("backup_run").alias("table_name"), "n")
     return n.unionByName(phases.join(old, "run_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit("backup_phase").alias("table_name"), "n"))
+
+
+def autofix(nodes: DataFrame, holders: DataFrame, stubs: DataFrame, missing: DataFrame, root: str) -> DataFrame:
+    """Safe corrections (sha256, action, path, target): anchors in ``missing`` (sha256) are moved to their first holder's place, stubs
+    of contents with an anchor that name another one are written anew, stubs of unknown contents go. Missing anchors without holder are left alone."""
+    first = holders.groupBy("sha256").agg(F.min_by(F.concat_ws("/", F.lit(root), "snapshot", "relpath"), F.struct("pos", "snapshot", "relpath")).alias("target"))
+    lost = nodes.join(missing.select("sha256").distinct(), "sha256", "left_semi").join(first, "sha256")
+    moved = lost.select("sha256", F.lit("promote").alias("action"), F.col("anchor_path").alias("path"), "target")
+    known = nodes.select("sha256", F.lit(True).alias("known"), F.col("anchor_path").alias("target"))
+    s = stubs.withColumn("sha256", F.lower("sha256")).join(known, "sha256", "left")
+    s = s.filter(F.col("known").isNull() | (~P.blank(F.col("target")) & ~F.col("anchor_path").eqNullSafe(F.col("target"))))
+    action = F.when(F.col("known").isNull(), "delete_stub").otherwise("rewrite_stub")
+    return moved.unionByName(s.select("sha256", action.alias("action"), F.col("stub_path").alias("path"), "target"))
+
+
+def cleanup_aborted(snapshots: DataFrame, remote: DataFrame, aborted: str, root: str, archive: str) -> DataFrame:
+    """Steps that remove an aborted snapshot (step, action, path, target): its folder, the pointer to the newest other local one, its manifest, its stored objects."""
+    newest = snapshots.filter(F.col("is_local") & (F.col("snapshot") != aborted)).agg(F.max("snapshot").alias("target"))
+    pointer = newest.select(F.lit(2).alias("step"), F.lit("set_latest").alias("action"), F.lit("latest").alias("path"), "target").filter("target IS NOT NULL")
+    own = snapshots.filter(F.col("snapshot") == aborted)
+    none = F.lit(None).cast("string").alias("target")
+    folder = own.filter("is_local").select(F.lit(1).alias("step"), F.lit("delete_local").alias("action"), F.col("snapshot").alias("path"), none)
+    manifest = own.filter("has_manifest").select(F.lit(3).alias("step"), F.lit("delete_manifest").alias("action"), F.concat(F.lit(f"{archive}/"), "snapshot", F.lit(".json")).alias("path"), none)
+    stored = remote.filter(F.startswith("path", F.lit(f"{root}/{aborted}/"))).select(F.lit(4).alias("step"), F.lit("delete_object").alias("action"), "path", none)
+    return folder.unionByName(pointer).unionByName(manifest).unionByName(stored)
+
+
+#: Names of temporary files, as LIKE patterns.
+TEMP_FILES = ("%mani.%.json", "%index_%.json", "delta%.json")
+
+
+def temp_cleanup(files: DataFrame, now: float, days: int = 7, patterns: tuple[str, ...] = TEMP_FILES) -> DataFrame:
+    """Files (name, mtime) to delete: those named as temporary and older than ``days`` whole days."""
+    named = F.lit(False)
+    for p in patterns:
+        named = named | F.col("name").like(p.replace("_", "\\_"))
+    return files.filter(named & (F.floor((F.lit(float(now)) - F.col("mtime")) / 86400) > days))

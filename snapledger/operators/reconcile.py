@@ -12,10 +12,16 @@ from snapledger.functions import paths as P
 
 
 def match_anchors(nodes: DataFrame, remote: DataFrame) -> DataFrame:
-    """Each node's stored object, by fileid first, else by path: two equi joins, never an OR."""
-    r = remote.filter("fileid IS NOT NULL")
-    by_id = r.groupBy(F.col("fileid").alias("fileid")).agg(F.max_by(F.struct("path", "fileid", "hash", "size"), "path").alias("i"))
-    by_path = r.select(F.col("path").alias("anchor_path"), F.struct("path", "fileid", "hash", "size").alias("p"))
+    """Each node's stored object, by fileid first, else by path: two equi joins, never an OR.
+
+    Nodes without anchor are left out. Of objects with one fileid the one of the greatest
+    path counts, of those with one path the one of the greatest fileid; objects without
+    fileid are found by path.
+    """
+    nodes = nodes.filter(~P.blank(F.col("anchor_path")))
+    found = F.struct("path", "fileid", "hash", "size")
+    by_id = remote.filter("fileid IS NOT NULL").groupBy("fileid").agg(F.max_by(found, "path").alias("i"))
+    by_path = remote.groupBy(F.col("path").alias("anchor_path")).agg(F.max_by(found, F.struct(F.col("fileid").isNotNull(), "fileid", "hash", "size")).alias("p"))
     j = nodes.join(by_id, "fileid", "left").join(by_path, "anchor_path", "left")
     found = F.coalesce("i", "p")
     how = F.when(F.col("i").isNotNull(), "fileid").when(F.col("p").isNotNull(), "path").otherwise("missing")
@@ -89,6 +95,17 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def hashed_sample(df: DataFrame, key: str, n: int, by: str | None = None, seed: str = "1") -> DataFrame:
     """``n`` rows, of each ``by`` if given, by least hash of key and seed: the same at each run."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(seed), F.col(key))), key))
+    order = [F.md5(F.concat(F.lit(seed), F.col(key))), F.col(key)]
+    if not by:
+        # every task keeps its n least, and only n rows are numbered
+        df = df.orderBy(*order).limit(n)
+    rank = F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order))
     return df.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= n)
+
+
+def check_sums(nodes: DataFrame, sums: DataFrame, n: int, seed: str = "1") -> DataFrame:
+    """Of a sample of ``n`` nodes with an anchor, the content hash in ``sums`` (path, sha256) against the index: match, mismatch or unknown."""
+    some = hashed_sample(nodes.filter(~P.blank(F.col("anchor_path"))).select("sha256", "anchor_path"), "sha256", n, seed=seed)
+    found = sums.groupBy(F.col("path").alias("anchor_path")).agg(F.lower(F.max("sha256")).alias("stored"))
+    state = F.when(P.blank(F.col("stored")), "unknown").when(F.col("stored") == F.lower("sha256"), "match").otherwise("mismatch")
+    return some.join(found, "anchor_path", "left").select("sha256", "anchor_path", "rank", state.alias("state"))

@@ -50,3 +50,13 @@ def explain(services: DataFrame, by: str = "host") -> DataFrame:
     """Names of failed and of inactive services; blocked ones do not count as failed."""
     named = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("service")))), ", ")
     return services.groupBy(by).agg(named("failed").alias("failed"), named("inactive").alias("inactive"), F.count_if(F.col("status") == "blocked").alias("n_blocked"))
+
+
+def log_fields(line: Column) -> Column:
+    """What a log line tells: its time, the gate's colour and those of the components nas and nas-av, the state of the honeyfiles; null where it does not say."""
+    found = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    return F.struct(
+        found(r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})").alias("at"), found("SAFETY-GATE: (GREEN|YELLOW|RED)").alias("gate"),
+        found("(?:^|[^-\\w])nas: (GREEN|YELLOW|RED)").alias("nas"), found("nas-av: (GREEN|YELLOW|RED)").alias("nas_av"),
+        F.when(F.regexp_like(line, F.lit("(?i)honeyfile.*alarm")), "ALARM").when(F.contains(line, F.lit("Honeyfiles:")), "OK").alias("honeyfiles"),
+    )

@@ -158,12 +158,17 @@ def _(x):
 
 @query(
     "F21_unique_names",
-    "SELECT ord, name, CASE WHEN n = 0 THEN name ELSE 'doc (' || n || ').txt' END AS unique_name FROM (SELECT doc_id AS ord, source || '_doc.txt' AS nm, 'doc.txt' AS name, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE doc_id < 50)",
+    """WITH d AS (SELECT doc_id AS ord, CASE WHEN doc_id % 50 = 7 THEN 'doc_' || lang || ' (' || doc_id % 9 || ').txt' ELSE 'doc_' || lang || '.txt' END AS name FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) - 1 AS nth FROM d), m AS (SELECT name, max(nth) AS most, left(name, length(name) - 4) AS base FROM n GROUP BY name HAVING max(nth) > 0),
+c AS (SELECT name, base || ' (' || i || ').txt' AS cand, i FROM (SELECT *, unnest(generate_series(1, most + 20)) AS i FROM m)),
+f AS (SELECT name, cand, row_number() OVER (PARTITION BY name ORDER BY i) AS nth FROM c WHERE cand NOT IN (SELECT name FROM d))
+SELECT n.ord, n.name, CASE WHEN n.nth = 0 THEN n.name ELSE f.cand END AS unique_name FROM n LEFT JOIN f ON f.name = n.name AND f.nth = n.nth""",
     ctes=False,
 )
 def _(x):
-    d = table(x.spark, x.sf_dir, "documents").filter("doc_id < 50")
-    return plan.unique_names(d.select(F.col("doc_id").alias("ord"), F.lit("doc.txt").alias("name")))
+    i = F.col("doc_id")
+    name = F.concat(F.lit("doc_"), "lang", F.when(i % 50 == 7, F.concat(F.lit(" ("), i % 9, F.lit(")"))).otherwise(F.lit("")), F.lit(".txt"))
+    return plan.unique_names(table(x.spark, x.sf_dir, "documents").select(i.alias("ord"), name.alias("name")))
 
 
 @query("F22_file_ids", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE doc_id END AS fileid FROM documents", ctes=False)
@@ -223,9 +228,64 @@ def _(x):
 
 @query(
     "T04_resolve_up",
-    _RECURSIVE + "f AS (SELECT id, '/' || name AS path, 1::BIGINT AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, f.path || '/' || t.name, f.depth + 1 FROM t JOIN f ON t.parent_id = f.id) SELECT id, path, depth, true AS complete FROM f WHERE id % 10 = 0",
+    _RECURSIVE + "f AS (SELECT id, '/' || name AS path, 1::BIGINT AS depth FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, f.path || '/' || t.name, f.depth + 1 FROM t JOIN f ON t.parent_id = f.id) SELECT id, path, depth, true AS complete FROM f",
     ctes=False,
 )
 def _(x):
     t = _tree(x)
-    return tree.resolve_up(t, t.filter("id % 10 = 0").select("id"))
+    return tree.resolve_up(t, t.select("id"))
+
+
+@query(
+    "U03_missing_folders",
+    _FOLDERS + f"SELECT relpath FROM f WHERE snapshot = '{CUR}' EXCEPT SELECT relpath FROM f WHERE snapshot = '{REF}' AND relpath NOT LIKE 'src1%'",
+)
+def _(x):
+    sides = diff.set_delta(diff.folders(x.manifest(3)), diff.folders(x.manifest(2)).filter("relpath NOT LIKE 'src1%'"))
+    return sides.filter("side = 'only_left'").select("relpath")
+
+
+@query("F05_after_marker", "SELECT path, CASE WHEN contains(path, '/_snapshots/') THEN split_part(split_part(path, '/_snapshots/', 2), '/', 1) END AS after_marker, split_part(path, '/', 4) AS segment FROM remote_object")
+def _(x):
+    p = F.col("path")
+    return x.remote.select("path", P.snapshot_after_marker(p).alias("after_marker"), P.snapshot_segment(p).alias("segment"))
+
+
+@query("F10_relative_paths", f"SELECT path, CASE WHEN fileid % 7 = 0 THEN '.' WHEN split_part(path, '/', 4) = '{CUR}' THEN substr(path, length('{ROOT}/{CUR}/') + 1) ELSE path END AS rel FROM remote_object")
+def _(x):
+    base = F.when(F.col("fileid") % 7 == 0, F.col("path")).otherwise(F.lit(f"{ROOT}/{CUR}"))
+    return x.remote.select("path", P.relative_to(F.col("path"), base).alias("rel"))
+
+
+@query("P12_snapshot_names", "SELECT run_id, run_id % 3 <> 2 AS valid FROM backup_run")
+def _(x):
+    r = F.col("run_id")
+    name = F.when(r % 3 == 0, CUR).when(r % 3 == 1, "2024-01-02__03-04-05").otherwise(F.concat(F.lit("latest"), r.cast("string")))
+    return x.runs.select("run_id", P.valid_snapshot(name).alias("valid"))
+
+
+@query(
+    "R16_quota_and_disk",
+    """SELECT run_id, 2000 AS total_gb, run_id * 7 % 2000 AS used_gb, 2000 - run_id * 7 % 2000 AS free_gb, printf('%.1f', round_even((2000 - run_id * 7 % 2000) / 1024.0::DOUBLE, 1)) AS free_tb,
+  CASE WHEN 2000 - run_id * 7 % 2000 < 200 THEN 'CRITICAL' WHEN 2000 - run_id * 7 % 2000 < 500 THEN 'WARNING' ELSE 'OK' END AS state, CASE WHEN 100 - run_id % 101 < 5 THEN 'CRITICAL' WHEN 100 - run_id % 101 < 10 THEN 'WARNING' ELSE 'OK' END AS disk FROM backup_run""",
+)
+def _(x):
+    gb = F.lit(1024**3).cast("long")
+    return x.runs.select("run_id", F.inline(F.array(fmt.quota(gb * 2000, gb * (F.col("run_id") * 7 % 2000)))), fmt.disk_class(F.col("run_id") % 101).alias("disk"))
+
+
+@query("F24_titles", "SELECT event_id, CASE WHEN length(props) <= 8 THEN props ELSE left(props, 8) || '...' END AS short, 'Nas Av ' || upper(left(event_type, 1)) || substr(event_type, 2) AS title FROM events", ctes=False)
+def _(x):
+    e = table(x.spark, x.sf_dir, "events")
+    return e.select("event_id", fmt.truncated(F.col("props"), 8).alias("short"), fmt.title(F.concat(F.lit("nas-av-"), "event_type")).alias("title"))
+
+
+@query(
+    "F29_row_form",
+    "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'FOLDER' ELSE 'FILE' END AS type, CASE WHEN c_custkey % 5 <> 0 THEN c_name WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE -c_custkey END AS id, CAST(c_nationkey AS BIGINT) AS parent FROM customer",
+    ctes=False,
+)
+def _(x):
+    k = F.col("c_custkey")
+    row = fmt.row_form(k % 3 == 0, F.when(k % 5 != 0, F.col("c_name")), k, -k, F.col("c_nationkey").cast("long"))
+    return table(x.spark, x.sf_dir, "customer").select(k.alias("k"), F.inline(F.array(row)))

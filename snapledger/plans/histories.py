@@ -191,3 +191,24 @@ def _(x):
 def _(x):
     t = x.runs.groupBy("snapshot_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("s"))
     return t.select("snapshot_name", F.format_string("%.1f%%", F.bround(F.col("s") * 100.0 / F.col("n"), 1)).alias("rate"))
+
+
+@query(
+    "F23_log_fields",
+    """, l AS (SELECT run_id, CASE run_id % 3 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'YELLOW' ELSE 'RED' END AS c FROM backup_run) SELECT run_id, CASE WHEN run_id % 2 = 0 THEN '2024-01-02 03:04:05' END AS at, c AS gate,
+CASE WHEN run_id % 5 <> 0 THEN c END AS nas, c AS nas_av, CASE WHEN run_id % 7 = 0 THEN 'ALARM' WHEN run_id % 7 = 1 THEN 'OK' END AS honeyfiles FROM l""",
+)
+def _(x):
+    r = F.col("run_id")
+    c = F.when(r % 3 == 0, "GREEN").when(r % 3 == 1, "YELLOW").otherwise("RED")
+    line = F.concat(
+        F.when(r % 2 == 0, "2024-01-02 03:04:05 ").otherwise(""), F.lit("SAFETY-GATE: "), c, F.when(r % 5 != 0, F.concat(F.lit(" | nas: "), c)).otherwise(""), F.lit(" | nas-av: "), c,
+        F.when(r % 7 == 0, " Honeyfile-ALARM").when(r % 7 == 1, " Honeyfiles: none touched").otherwise(""),
+    )
+    return x.runs.select("run_id", F.inline(F.array(status.log_fields(line))))
+
+
+@query("P10_backfilled_runs", "SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'FAILED') AS failed FROM backup_run WHERE gap_backfill_mode = 1")
+def _(x):
+    named = x.runs.withColumn("name", F.concat(F.when(F.col("gap_backfill_mode") == 1, "backfill-").otherwise("run-"), "run_id"))
+    return history.backfilled(named, "name")

@@ -272,9 +272,13 @@ def _(x):
     return reconcile.hashed_sample(x.stubs.select("snapshot", "stub_path"), "stub_path", 100, "snapshot")
 
 
-@query("C15_checksum_sample", "SELECT sha256, rank FROM (SELECT sha256, row_number() OVER (ORDER BY md5('1' || sha256), sha256) AS rank FROM content_node) WHERE rank <= 50")
+@query(
+    "C15_checksum_sample",
+    "SELECT sha256, anchor_path, rank, CASE WHEN rn % 3 = 0 THEN 'unknown' WHEN rn % 3 = 1 THEN 'match' ELSE 'mismatch' END AS state FROM (SELECT *, row_number() OVER (ORDER BY md5('1' || sha256), sha256) AS rank FROM content_node) WHERE rank <= 50",
+)
 def _(x):
-    return reconcile.hashed_sample(x.nodes.select("sha256"), "sha256", 50)
+    sums = x.nodes.filter("rn % 3 <> 0").select(F.col("anchor_path").alias("path"), F.when(F.col("rn") % 3 == 1, F.upper("sha256")).otherwise(F.concat(F.lit("x"), "sha256")).alias("sha256"))
+    return reconcile.check_sums(x.nodes, sums, 50)
 
 
 @query("W08_every_tenth", "SELECT snapshot, stub_path, rank FROM (SELECT snapshot, stub_path, row_number() OVER (PARTITION BY snapshot ORDER BY md5('1' || stub_path), stub_path) AS rank FROM stub) WHERE rank <= 100 AND rank % 10 = 0")

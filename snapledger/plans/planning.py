@@ -94,10 +94,13 @@ def _(x):
     return dim(x).filter("has_manifest").select("snapshot").join(dim(x).filter("is_local").select("snapshot"), "snapshot", "left_anti")
 
 
-@query("C19_abort_cleanup", _SNAPS + f"SELECT '{S[4]}' AS snapshot, max(snapshot) AS new_latest, (SELECT count(*) FROM remote_object WHERE path LIKE '%/{S[4]}/%') AS objects FROM dim WHERE is_local AND snapshot <> '{S[4]}'")
+@query(
+    "C19_abort_cleanup",
+    _SNAPS + f"""SELECT 1 AS step, 'delete_local' AS action, snapshot AS path, NULL AS target FROM dim WHERE snapshot = '{S[4]}' AND is_local UNION ALL SELECT 2, 'set_latest', 'latest', max(snapshot) FROM dim WHERE is_local AND snapshot <> '{S[4]}'
+UNION ALL SELECT 3, 'delete_manifest', '/A/manifests/' || snapshot || '.json', NULL FROM dim WHERE snapshot = '{S[4]}' AND has_manifest UNION ALL SELECT 4, 'delete_object', path, NULL FROM remote_object WHERE path LIKE '{ROOT}/{S[4]}/%'""",
+)
 def _(x):
-    n = x.remote.filter(F.contains("path", F.lit(f"/{S[4]}/"))).agg(F.count(F.lit(1)).alias("objects"))
-    return dim(x).filter(F.col("is_local") & (F.col("snapshot") != S[4])).agg(F.max("snapshot").alias("new_latest")).crossJoin(n).select(F.lit(S[4]).alias("snapshot"), "new_latest", "objects")
+    return plan.cleanup_aborted(dim(x), x.remote, S[4], ROOT, "/A/manifests")
 
 
 @query(
@@ -252,24 +255,40 @@ def _(x):
     return plan.purge(x.runs, x.phases, AS_OF, 20)
 
 
-@query("K14_temp_cleanup", "SELECT relpath FROM manifest_item WHERE mtime < 1704067200 + 30000 AND relpath LIKE 'src1%'")
+@query("K14_temp_cleanup", "SELECT ord FROM manifest_item WHERE ord % 4 < 3 AND floor((1704067200.0 + 30 * 86400 - mtime) / 86400) > 7")
 def _(x):
-    return x.items.filter((F.col("mtime") < 1704067200 + 30000) & F.startswith("relpath", F.lit("src1"))).select("relpath")
+    k = F.col("ord") % 4
+    name = F.when(k == 0, F.concat(F.lit("x_mani."), "ord", F.lit(".json"))).when(k == 1, F.concat(F.lit("x_index_"), "ord", F.lit(".json"))).when(k == 2, F.concat(F.lit("delta"), "ord", F.lit(".json"))).otherwise(F.concat(F.lit("keep"), "ord", F.lit(".json")))
+    return plan.temp_cleanup(x.items.select("ord", name.alias("name"), "mtime"), 1704067200 + 30 * 86400).select("ord")
 
 
-@query("C10_oldest_holder_anchor", f"SELECT sha256, '{ROOT}/' || arg_min(snapshot || '/' || relpath, pos) AS anchor_path FROM holder WHERE sha256 IN (SELECT sha256 FROM content_node WHERE rn % 4 = 0) GROUP BY sha256")
+@query(
+    "C10_oldest_holder_anchor",
+    f", o AS (SELECT sha256, '{ROOT}/' || arg_min(snapshot || '/' || relpath, pos) AS oldest FROM holder GROUP BY sha256) SELECT n.sha256, CASE WHEN rn % 4 = 0 THEN oldest ELSE anchor_path END AS anchor_path, fileid, remote_hash, rn % 4 = 0 AS was_set FROM content_node n JOIN o ON n.sha256 = o.sha256",
+)
 def _(x):
-    h = x.holders.join(x.nodes.filter("rn % 4 = 0").select("sha256"), "sha256", "left_semi")
-    return h.groupBy("sha256").agg(F.concat(F.lit(ROOT + "/"), F.min_by(F.concat_ws("/", "snapshot", "relpath"), "pos")).alias("anchor_path"))
+    nodes = x.nodes.withColumn("anchor_path", F.when(F.col("rn") % 8 == 0, "").when(F.col("rn") % 4 != 0, F.col("anchor_path")))
+    return index.set_missing_anchors(nodes, x.holders, ROOT)
 
 
-@query("C11_autofix", "SELECT lower(sha256) AS sha256, stub_path, CASE WHEN lower(sha256) NOT IN (SELECT sha256 FROM content_node) THEN 'delete_stub' ELSE 'rewrite_stub' END AS action FROM stub WHERE lower(sha256) NOT IN (SELECT sha256 FROM content_node) OR anchor_path LIKE '%.old'")
+@query("C10_reset_ids", "SELECT sha256, anchor_path, NULL::BIGINT AS fileid, NULL::VARCHAR AS remote_hash, false AS was_set FROM content_node")
+def _(x):
+    return index.set_missing_anchors(x.nodes, x.holders, ROOT, reset=True)
+
+
+@query(
+    "C11_autofix",
+    f""", m AS (SELECT n.sha256, n.anchor_path FROM content_node n LEFT JOIN remote_object r ON n.anchor_path = r.path WHERE r.path IS NULL), f AS (SELECT sha256, '{ROOT}/' || arg_min(snapshot || '/' || relpath, pos) AS target FROM holder GROUP BY sha256)
+SELECT m.sha256, 'promote' AS action, m.anchor_path AS path, target FROM m JOIN f ON f.sha256 = m.sha256
+UNION ALL SELECT lower(s.sha256), CASE WHEN n.sha256 IS NULL THEN 'delete_stub' ELSE 'rewrite_stub' END, stub_path, n.anchor_path FROM stub s LEFT JOIN content_node n ON n.sha256 = lower(s.sha256) WHERE n.sha256 IS NULL OR s.anchor_path <> n.anchor_path""",
+)
 def _(x):
-    s = x.stubs.withColumn("sha256", F.lower("sha256")).join(x.nodes.select("sha256", F.lit(True).alias("known")), "sha256", "left")
-    return s.filter(F.col("known").isNull() | F.endswith("anchor_path", F.lit(".old"))).select("sha256", "stub_path", F.when(F.col("known").isNull(), "delete_stub").otherwise("rewrite_stub").alias("action"))
+    missing = x.nodes.join(x.remote.select(F.col("path").alias("anchor_path")), "anchor_path", "left_anti")
+    return plan.autofix(x.nodes, x.holders, x.stubs, missing, ROOT)
 
 
-@query("J25_template_delta", ", a AS (SELECT DISTINCT split_part(relpath, '/', 1) AS relpath FROM manifest_item WHERE ord % 2 = 0 AND ord < 40), b AS (SELECT DISTINCT split_part(relpath, '/', 1) AS relpath FROM manifest_item WHERE ord % 3 = 0 AND ord < 40) SELECT coalesce(a.relpath, b.relpath) AS relpath, CASE WHEN a.relpath IS NULL THEN 'only_right' WHEN b.relpath IS NULL THEN 'only_left' ELSE 'shared' END AS side FROM a FULL JOIN b ON a.relpath = b.relpath")
+@query("J25_template_delta", ", a AS (SELECT DISTINCT split_part(relpath, '/', 1) AS relpath FROM manifest_item ), b AS (SELECT DISTINCT split_part(relpath, '/', 2) AS relpath FROM manifest_item UNION SELECT DISTINCT split_part(relpath, '/', 1) FROM manifest_item WHERE relpath LIKE 'src1%') SELECT coalesce(a.relpath, b.relpath) AS relpath, CASE WHEN a.relpath IS NULL THEN 'only_right' WHEN b.relpath IS NULL THEN 'only_left' ELSE 'shared' END AS side FROM a FULL JOIN b ON a.relpath = b.relpath")
 def _(x):
-    top = F.split_part("relpath", F.lit("/"), F.lit(1)).alias("relpath")
-    return diff.set_delta(x.items.filter("ord % 2 = 0 AND ord < 40").select(top), x.items.filter("ord % 3 = 0 AND ord < 40").select(top))
+    part = lambda n: F.split_part("relpath", F.lit("/"), F.lit(n)).alias("relpath")
+    template = x.items.select(part(2)).union(x.items.filter("relpath LIKE 'src1%'").select(part(1)))
+    return diff.set_delta(x.items.select(part(1)), template)

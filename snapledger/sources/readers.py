@@ -64,10 +64,11 @@ def remote_tree(documents: DataFrame, column: str = "value") -> DataFrame:
 
     A node named as an upload marker goes with all below it.
     """
-    from snapledger.operators.tree import MARKERS
+    from snapledger.operators.tree import DEEPEST, MARKERS, unlimited
 
+    unlimited(documents.sparkSession)
     return documents.sparkSession.sql(
-        f"""WITH RECURSIVE t(node, path, lvl) MAX RECURSION LEVEL 10001 AS (
+        f"""WITH RECURSIVE t(node, path, lvl) MAX RECURSION LEVEL {DEEPEST} AS (
           SELECT variant_get(try_parse_json({column}), '$.metadata', 'variant'), '', 0 FROM {{documents}}
           UNION ALL SELECT c.value, concat(t.path, '/', variant_get(c.value, '$.name', 'string')), t.lvl + 1
           FROM t, LATERAL variant_explode(variant_get(t.node, '$.contents', 'variant')) AS c
@@ -96,6 +97,56 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return t.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.sha2("content", 256).alias("sha256"))
 
 
+def manifest_paths(items: DataFrame) -> DataFrame:
+    """(snapshot, sha256, paths) of manifest items with hash and path: each snapshot's contents and, sorted, where they stand."""
+    rows = items.filter("coalesce(sha256, '') <> '' AND coalesce(relpath, '') <> ''")
+    return rows.groupBy("snapshot", F.lower("sha256").alias("sha256")).agg(F.sort_array(F.collect_set("relpath")).alias("paths"))
+
+
+def walk_rows(entries: DataFrame) -> DataFrame:
+    """Manifest rows of a walk's entries (path, mode, size, mtime, dev, ino, nlink, target): files, links and folders, the root as '';
+    sockets, pipes and devices are left out. The first path of an inode with several names is its master."""
+    from pyspark.sql.window import Window
+
+    kind = F.expr("CASE mode & 61440 WHEN 32768 THEN 'file' WHEN 40960 THEN 'symlink' WHEN 16384 THEN 'dir' END")
+    rows = entries.withColumn("type", kind).filter("type IS NOT NULL")
+    linked = (F.col("type") == "file") & (F.col("nlink") > 1)
+    # only files with several names are put together by inode
+    key = F.when(linked, F.concat_ws(":", "dev", "ino")).otherwise(F.concat(F.lit("/"), F.col("path")))
+    master = F.min("path").over(Window.partitionBy(key))
+    return rows.select("type", F.col("path").alias("relpath"), F.when(F.col("type") == "file", F.col("size")).alias("size"), "mtime", F.when(F.col("type") == "file", F.struct("dev", "ino", "nlink")).alias("inode"),
+        F.when(linked & (F.col("path") != master), master).alias("hardlink_of"), F.when(linked, F.col("path") == master).alias("hardlink_master"), F.when(F.col("type") == "symlink", F.col("target")).alias("target"))
+
+
+def delta_report(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Findings (category, sha256, anchor_path, fileid) of delta reports given as text; a report that is no JSON gives none."""
+    parsed = F.from_json(F.col(column), "MAP<STRING, STRING>")
+    t = documents.select(F.explode(parsed).alias("category", "listed"))
+    rows = F.from_json("listed", "ARRAY<STRUCT<sha256: STRING, anchor_path: STRING, fileid: STRING>>")
+    t = t.filter(F.startswith(F.ltrim("listed"), F.lit("["))).select("category", F.explode(rows).alias("r"))
+    return t.select("category", "r.sha256", "r.anchor_path", F.regexp_replace("r.fileid", "^f+", "").try_cast("bigint").alias("fileid"))
+
+
+def status_documents(documents: DataFrame, column: str = "value") -> DataFrame:
+    """(hostname, overall_status, exit_code) of status documents; what one does not say is null, UNKNOWN and 3."""
+    field = lambda name: F.get_json_object(column, f"$.{name}")
+    return documents.select(field("hostname").alias("hostname"), F.coalesce(field("overall_status"), F.lit("UNKNOWN")).alias("overall_status"), F.coalesce(field("exit_code").try_cast("int"), F.lit(3)).alias("exit_code"))
+
+
+def template_folders(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Folders of a template's manifest; one whose ``folders`` is no list, or that is no JSON, gives none."""
+    listed = F.get_json_object(column, "$.folders")
+    return documents.filter(F.startswith(F.ltrim(listed), F.lit("["))).select(F.explode(F.from_json(listed, "ARRAY<STRING>")).alias("relpath")).filter("relpath IS NOT NULL")
+
+
+def run_history(spark: SparkSession, url: str, table: str, key: str = "id", bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of the run history by JDBC, read in ``parts`` ranges of ``key`` if its ``bounds`` are given; filters and columns are pushed down."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if bounds:
+        r = r.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return r.load()
+
+
 def settings(*layers: dict[str, str | None]) -> dict[str, str]:
     """Merge of settings, later layers over earlier ones; empty and missing values do not override."""
     out: dict[str, str] = {}
@@ -112,3 +163,16 @@ def env_lines(text: str) -> dict[str, str]:
         if sign and not key.startswith("#"):
             out[key.strip()] = value.strip().strip("\"'")
     return out
+
+
+#: Settings that are whole numbers.
+WHOLE = ("port", "timeout")
+
+
+def effective_settings(defaults: dict, file: dict | None = None, profile: dict | None = None, environment: dict | None = None, overrides: dict | None = None, required: tuple[str, ...] = ("token",)) -> dict:
+    """Settings by precedence: overrides over the environment over the profile's file over the default file over defaults; required ones must not be empty."""
+    out: dict = settings(defaults, file or {}, profile or {}, environment or {}, {k: None if v is None else str(v) for k, v in (overrides or {}).items()})
+    missing = [k for k in required if not out.get(k)]
+    if missing:
+        raise ValueError(f"missing settings: {', '.join(missing)}")
+    return {k: int(v) if k in WHOLE else v for k, v in out.items()}

@@ -13,14 +13,13 @@ def alerts_on_change(states: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches, state: GroupState):
         (last,) = state.get if state.exists else ("OK",)
-        for pdf in batches:
-            pdf = pdf.sort_values("ts", kind="stable")
-            before = pdf["status"].shift(1)
-            before.iloc[0] = last
-            last = pdf["status"].iloc[-1]
-            changed = pdf[before != pdf["status"]]
-            yield pd.DataFrame({"host": key[0], "ts": changed["ts"], "before": before[changed.index], "status": changed["status"]})
-        state.update((last,))
+        # a host's rows come in pieces of no order: those of one trigger are sorted together
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "status"], kind="stable", ignore_index=True)
+        before = pdf["status"].shift(1)
+        before.iloc[0] = last
+        changed = pdf[before != pdf["status"]]
+        state.update((pdf["status"].iloc[-1],))
+        yield pd.DataFrame({"host": key[0], "ts": changed["ts"], "before": before[changed.index], "status": changed["status"]})
 
     return states.select("host", "ts", "status").groupBy("host").applyInPandasWithState(
         step, f"host {dict(states.dtypes)['host']}, ts {dict(states.dtypes)['ts']}, before string, status string", "last string", "append", GroupStateTimeout.NoTimeout
@@ -38,8 +37,31 @@ def run_states(events: DataFrame) -> DataFrame:
     return t.select("run_id", "started", "finished", F.coalesce("status", F.lit("RUNNING")).alias("status"))
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is available into a table in memory; offsets are kept under ``checkpoint``."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is available; its results are written as Parquet below ``folder``, its offsets kept there too.
+
+    In update mode a row of ``key`` counts as its last trigger left it. Nothing is held by the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/trigger={number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/rows").option("recursiveFileLookup", False).parquet(f"{folder}/rows/*")
+    if mode != "update":
+        return rows.drop("trigger")
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "trigger").alias("r")).select(*key, "r.*")
+
+
+def keep_running(stream: DataFrame, folder: str, write, every: str = "15 minutes", mode: str = "update"):
+    """Start a stream that works every so often and goes on where it stopped: offsets and state are kept under ``folder``."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(processingTime=every).foreachBatch(write).start()
+
+
+def fresh(entries: DataFrame, now: str, key: str = "path", seconds: int = 3600) -> DataFrame:
+    """Of cached rows (key, ts, ...), the last of each key, if it is not older than ``seconds`` at ``now``."""
+    rest = [c for c in entries.columns if c != key]
+    last = entries.groupBy(key).agg(F.max_by(F.struct(*rest), "ts").alias("r")).select(key, "r.*")
+    return last.filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= seconds * 1_000_000)

@@ -202,3 +202,80 @@ def test_empty_history(spark):
     runs = spark.createDataFrame([], "run_id long, snapshot_name string, status string, started_at timestamp_ntz, duration_sec long, bytes_uploaded long, gap_backfill_mode long, error_message string")
     assert tuple(history.performance(runs, "2024-01-31 00:00:00").first()) == (0, None, None, None, None, None)
     assert history.newest(runs, 5).count() == 0
+
+
+def test_unique_names_take_free_numbers(spark):
+    rows = list(enumerate(["a.txt", "a.txt", "a (1).txt", "b", "b", "b (2)", "c.tar.gz", "a.txt", "a (1).txt"]))
+    names = spark.createDataFrame(rows, "ord long, name string")
+    assert [r[0] for r in plan.unique_names(names).orderBy("ord").select("unique_name").collect()] == ["a.txt", "a (2).txt", "a (1).txt", "b", "b (1)", "b (2)", "c.tar.gz", "a (3).txt", "a (1) (1).txt"]
+    present = spark.createDataFrame([("c.tar.gz",), ("c.tar (1) [x].gz",), ("b",)], "name string")
+    got = {r["ord"]: r["unique_name"] for r in plan.unique_names(names, present, "x").collect()}
+    assert got[6] == "c.tar (2) [x].gz" and got[3] == "b (1) [x]" and got[4] == "b (2) [x]" and got[0] == "a.txt" and got[1] == "a (1) [x].txt"
+    assert plan.unique_names(names.limit(0)).count() == 0
+
+
+def test_match_anchors_once_a_node(spark):
+    nodes = spark.createDataFrame([("a", "/p", 1, "h", 1), ("b", "/q", 9, "h", 1), ("c", "", 3, "h", 1), ("d", None, 3, "h", 1), ("e", "/r", None, "h", 1)], NODE)
+    remote = spark.createDataFrame([("/q", 5, "x", 1), ("/q", 6, "y", 1), ("/r", None, "h", 1), ("/p2", 1, "h", 1)], "path string, fileid long, hash string, size long")
+    assert got(reconcile.match_anchors(nodes, remote), "sha256", "how", "moved") == [("a", "fileid", True), ("b", "path", False), ("e", "path", False)]
+
+
+def test_rows_without_inode_stand_alone(spark):
+    it = items(spark, ("a", "x", 1.0), ("b", "x", 1.0), ("c", "y", 1.0))
+    assert index.holders_after_run(it, spark.createDataFrame([], HOLDER), "first_inode_only").count() == 3
+    plan_rows = plan.full_write(it, spark.createDataFrame([], NODE), spark.createDataFrame([], HOLDER), ROOT)
+    assert got(plan_rows, "relpath", "action") == [("a", "upload"), ("b", "stub"), ("c", "upload")]
+
+
+def test_autofix_and_anchors(spark):
+    nodes = spark.createDataFrame([("a", "/old", 1, "h", 1), ("b", None, 2, "h", 1), ("c", "", 3, "h", 1)], NODE)
+    holders = spark.createDataFrame([("a", "s2", "x", 1, 1), ("a", "s1", "y", 0, 1), ("b", "", "z", 0, 1), ("b", "s3", "z", 1, 1)], HOLDER)
+    stubs = spark.createDataFrame([("A", "/s1", "/old"), ("b", "/s2", "/else"), ("zz", "/s3", "/old")], "sha256 string, stub_path string, anchor_path string")
+    known = nodes.withColumn("anchor_path", F.when(F.col("sha256") == "b", "/new").otherwise(F.col("anchor_path")))
+    fixed = plan.autofix(known, holders, stubs, nodes.filter("sha256 IN ('a', 'c')"), ROOT)
+    assert got(fixed, "sha256", "action", "path") == [("a", "promote", "/old"), ("b", "rewrite_stub", "/s2"), ("zz", "delete_stub", "/s3")]
+    anchors = index.set_missing_anchors(nodes, holders, ROOT)
+    assert {(r.sha256, r.anchor_path, r.was_set) for r in anchors.collect()} == {("a", "/old", False), ("b", f"{ROOT}/s3/z", True), ("c", None, False)}
+    assert index.set_missing_anchors(nodes, holders, ROOT, reset=True).filter("fileid IS NOT NULL OR remote_hash IS NOT NULL").count() == 0
+
+
+def test_alerts_sort_a_host_across_pieces(spark, tmp_path):
+    from snapledger.streaming import monitor
+
+    rng = random.Random(4)
+    rows = [(f"h{k % 2}", k, rng.choice(["OK", "BAD", "WORSE"])) for k in range(400)]
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    spark.createDataFrame(mixed, "host string, ts long, status string").write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        s = spark.readStream.schema("host string, ts long, status string").parquet(str(tmp_path / "in"))
+        found = got(monitor.drain(monitor.alerts_on_change(s), str(tmp_path / "out"), "append"), "host", "ts", "before", "status")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = [], {}
+    for host, ts, state in rows:
+        if last.get(host, "OK") != state:
+            want.append((host, ts, last.get(host, "OK"), state))
+        last[host] = state
+    assert found == sorted(want)
+
+
+def test_deep_trees(spark):
+    t = spark.createDataFrame([(k, k - 1 if k else None, f"n{k}", True) for k in range(120)], "id int, parent_id int, name string, is_folder boolean")
+    assert tree.flatten(t).filter("lvl = 120").count() == 1
+    assert tree.resolve_up(t, spark.createDataFrame([(119,)], "id int")).first()["depth"] == 120
+
+
+def test_settings_by_precedence():
+    s = readers.effective_settings({"host": "d", "port": "1", "token": ""}, {"host": "f", "token": "t"}, {"host": "p", "timeout": "5"}, {"host": ""}, {"port": 9, "token": None})
+    assert s == {"host": "p", "port": 9, "token": "t", "timeout": 5}
+    with pytest.raises(ValueError):
+        readers.effective_settings({"token": ""})
+
+
+def test_walk_rows(spark):
+    e = [("", 0o040755, 0, 1.0, 1, 1, 2, None), ("b", 0o100644, 3, 1.0, 1, 7, 2, None), ("a", 0o100644, 3, 1.0, 1, 7, 2, None), ("l", 0o120777, 1, 1.0, 1, 9, 1, "a"), ("pipe", 0o010644, 0, 1.0, 1, 8, 1, None), ("one", 0o100644, 1, 1.0, None, None, 1, None)]
+    r = readers.walk_rows(spark.createDataFrame(e, "path string, mode int, size long, mtime double, dev long, ino long, nlink int, target string"))
+    assert [tuple(x) for x in r.select("type", "relpath", "hardlink_of", "hardlink_master", "target").orderBy("relpath").collect()] == [("dir", "", None, None, None), ("file", "a", None, True, None), ("file", "b", "a", False, None), ("symlink", "l", None, None, "a"), ("file", "one", None, None, None)]

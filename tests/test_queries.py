@@ -23,11 +23,6 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_documents_have_one_row(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() == 1
-
-
 @pytest.mark.parametrize("name", ["J01_manifest_diff", "J02_match_anchors", "J03_unknown_objects", "J08_check_stubs", "J11_enrich_missing", "C03_retention_plan", "C06_full_write_plan"])
 def test_no_nested_loops(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
