@@ -21,11 +21,14 @@ distinct texts is enough.
 Equal sets are one node, and signatures that the same nodes share are one group. Each
 group's nodes are tied to the one among them that stands in the largest groups, which of
 copies is what they were copied from; where they are then in different components, ``TURNS``
-times to another one drawn at random, which differs from group to group; nodes of a group
-that are still in different components are tied pairwise. A tie counts only if the sets themselves pass the test:
-parities of the sets, in about as many bits as they have elements (``FINE`` times as many
-for pairs within a group), which differ in no more places than the sets do, spare most
-false pairs the comparison, the texts of the others are compared. No link between different sets is lost and no group of copies is expanded
+times to another one drawn at random, which differs from group to group; nodes that share
+a group and are still in different components are tied pairwise, but only those that agree
+in one of their rarest elements: of n elements two similar sets lack no more than n / 5 of
+each other's, so that one of the n / 5 + 1 rarest, counted among these nodes, is in both.
+A tie counts only if the sets themselves pass the test: parities of the sets, in about as
+many bits as they have elements (``FINE`` times as many for pairs within a group), which
+differ in no more places than the sets do, spare most false pairs the comparison, the
+texts of the others are compared. No link between different sets is lost and no group of copies is expanded
 into its pairs.
 
 The set of a text with fewer than five words is its whole sequence; without words or text
@@ -42,7 +45,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.llm import textbatch as tb
@@ -51,6 +54,8 @@ from snapledger.llm.components import components
 
 WIDTH, PARTS, LIGHT, TURNS = 5, 3, 3, 1
 SAMPLE, COMMON, MOST_COMMON, FINE = 16_000, 8, 200_000, 8
+#: Longs of the parity that is compared before the fine one.
+FIRST = [f"first_{k}" for k in range(8)]
 #: Pairs of sets a task compares; nodes of a signature that are held to see whether another has the same ones.
 PAIRS_PER_TASK, WHOLE = 10_000, 4096
 #: Shingles whose signatures are sorted in one task.
@@ -165,13 +170,24 @@ def _describe(batches):
             )
 
 
+def first_parities(items: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Each set's parity in as many longs as ``FIRST`` has names, a row of them for each set."""
+    bits = 64 * len(FIRST)
+    bit = (items & tb.U64(bits - 1)).astype(np.int64) + tb.rows_of(of) * bits
+    odd = (np.bincount(bit, minlength=(len(of) - 1) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(-1, len(FIRST))
+
+
 def _fine(batches):
-    """Size and fine parity of each text's set."""
+    """Size, elements, first and fine parity of each text's set."""
     for batch in batches:
         for i, j, data, off in tb.slices(batch.column("text")):
             items, of = shingle_sets(data, off)
             values, base = parities(items, of, FINE)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key").slice(i, j - i), pa.array(np.diff(of)), pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(values))], ["doc_key", "n", "parity"])
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(x)) for o, x in ((base, values), (of, items.view(np.int64)))]
+            first = first_parities(items, of)
+            columns = [batch.column("doc_key").slice(i, j - i), pa.array(np.diff(of)), *lists, *(pa.array(np.ascontiguousarray(x)) for x in first.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_key", "n", "parity", "items", *FIRST])
 
 
 def _shingles(batches):
@@ -326,6 +342,29 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(split, "grp", "left_semi")
 
 
+def _left_over(apart: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes in ``apart`` (grp, node, root) that share a group, not the root, and may be similar.
+
+    A node's groups are as many as it has signatures at most, whatever the groups' sizes.
+    """
+    own = cut(apart.groupBy("node").agg(F.first("root").alias("root"), F.collect_set("grp").alias("groups")).join(nodes.select("node", "doc_key"), "node"))
+    firsts = ", ".join(f"{x} long" for x in FIRST)
+    fine = map_batches(_texts(own.select("doc_key"), keyed), _fine, f"doc_key long, n long, parity array<long>, items array<long>, {firsts}")
+    fine = cut(fine.join(own, "doc_key").drop("doc_key"))
+    held = fine.select("node", "n", F.explode("items").alias("item"))
+    often = held.groupBy("item").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # an element that one node only holds takes its place among the rarest, but ties nothing
+    order = Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "item")
+    rare = held.join(often, "item", "left").withColumn("place", F.row_number().over(order)).filter("place <= n div 5 + 1 AND often IS NOT NULL")
+    rare = cut(rare.select("node", "item").join(fine.drop("items"), "node"))
+    side = lambda c: rare.select("item", F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "groups", "n", "parity", *FIRST)))
+    differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in FIRST)
+    # all tests are part of the join's own condition: pairs that they rule out are never rows
+    condition = F.expr("a < b AND root_a <> root_b") & _sizes_fit() & F.expr(f"9 * ({differ}) <= n_a + n_b") & _near() & F.arrays_overlap("groups_a", "groups_b")
+    both = side("a").withColumnRenamed("item", "item_a").join(side("b").withColumnRenamed("item", "item_b"), F.expr("item_a = item_b") & condition)
+    return both.select("a", "b").distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_key, n_shingles, component_id, root) of every row of ``docs`` (doc_id, text); doc_key tells texts with one id apart.
 
@@ -363,13 +402,7 @@ def classes(docs: DataFrame) -> DataFrame:
         links = links.unionByName(_links(pairs, nodes, keyed))
         roots = cut(components(links))
     apart = cut(_apart(members, roots))
-    some = cut(apart.select("node").distinct().join(nodes.select("node", "doc_key"), "node"))
-    fine = map_batches(_texts(some.select("doc_key"), keyed), _fine, "doc_key long, n long, parity array<long>")
-    apart = apart.join(cut(fine.join(some, "doc_key").drop("doc_key")), "node")
-    side = lambda c: apart.select(F.col("grp").alias(f"grp_{c}"), F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "n", "parity")))
-    # sizes and parities are part of the join's own condition: pairs that they rule out are never rows
-    condition = F.expr("grp_a = grp_b AND a < b AND root_a <> root_b") & _sizes_fit() & _near()
-    pairs = cut(side("a").join(side("b"), condition).select("a", "b").distinct())
+    pairs = cut(_left_over(apart, nodes, keyed))
     if not pairs.isEmpty():
         roots = cut(components(links.unionByName(_links(pairs, nodes, keyed))))
 
