@@ -356,13 +356,16 @@ def _left_over(apart: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFram
     # an element that one node only holds takes its place among the rarest, but ties nothing
     order = Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "item")
     rare = held.join(often, "item", "left").withColumn("place", F.row_number().over(order)).filter("place <= n div 5 + 1 AND often IS NOT NULL")
-    rare = cut(rare.select("node", "item").join(fine.drop("items"), "node"))
-    side = lambda c: rare.select("item", F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "groups", "n", "parity", *FIRST)))
+    # what goes along with each rare element is narrow; groups and fine parities meet the pairs that are left
+    rare = cut(rare.select("node", "item").join(fine.select("node", "root", "n", *FIRST), "node"))
+    side = lambda c: rare.select(F.col("item").alias(f"item_{c}"), F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "n", *FIRST)))
     differ = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in FIRST)
-    # all tests are part of the join's own condition: pairs that they rule out are never rows
-    condition = F.expr("a < b AND root_a <> root_b") & _sizes_fit() & F.expr(f"9 * ({differ}) <= n_a + n_b") & _near() & F.arrays_overlap("groups_a", "groups_b")
-    both = side("a").withColumnRenamed("item", "item_a").join(side("b").withColumnRenamed("item", "item_b"), F.expr("item_a = item_b") & condition)
-    return both.select("a", "b").distinct()
+    # tests are part of the join's own condition: pairs that they rule out are never rows
+    condition = F.expr("item_a = item_b AND a < b AND root_a <> root_b") & _sizes_fit() & F.expr(f"9 * ({differ}) <= n_a + n_b")
+    pairs = cut(side("a").join(side("b"), condition).select("a", "b").distinct())
+    of = lambda c: fine.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("groups", "n", "parity")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").filter(_near() & F.arrays_overlap("groups_a", "groups_b"))
+    return both.select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
