@@ -1,20 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a Kneser-Ney distribution over words: a word counts by the distinct words
-it follows in that class (its continuation count), so that a text copied a thousand times
-counts once. A count c is discounted by ``CHANCE`` times its square root (by all of it, if
-it is smaller), the scale of its chance differences, whatever the size of the corpus; the
-mass so freed goes to one backoff distribution, made of the continuation counts of both
-classes together: a rare expression is left to the shared counts and says nothing, one far
-more usual in one class says much.
-
-A text is judged by its two length-normalised log-likelihoods: their difference, and how
-far single words pass that difference by more than ``MARGIN``. A logistic curve, fitted to
-about ``CALIBRATE`` distinct learning texts of each class, turns both into a score.
-
-Counts cover all learning rows, grow with them and are gathered by shuffles; only words
-whose count passes the discount come to the driver, into a table of 2**SLOT_BITS slots,
-which is all that is broadcast.
+Each class has an interpolated Kneser-Ney bigram model. Its top level counts how often a
+word follows another in the class's texts; its lower order is a distribution over words in
+which a word counts by the distinct words it follows in that class (its continuation
+count), so that a text copied a thousand times counts once there. A count c is discounted
+by ``CHANCE`` times its square root (by all of it, if it is smaller), the scale of its
+chance differences, whatever the size of the corpus. What the discounts of a word's
+followers free goes to the lower order; what the lower order's free goes to one backoff
+distribution, made of the continuation counts of both classes together: a rare expression
+is left to the shared counts and says nothing, one far more usual in one class says much.
+
+A text is judged by its length-normalised log-likelihoods under both classes' bigram
+models and under their lower orders: by the differences, and by how far single words pass
+that of the lower orders by more than ``MARGIN``. A logistic curve, fitted to about
+``CALIBRATE`` distinct learning texts of each class, turns the three into a score.
+
+Counts cover all learning rows, grow with them and are gathered by shuffles. Pairs are
+counted, discounted and only then put into 2**SLOT_BITS slots, as words are, and contexts
+into 2**CONTEXT_BITS; these tables come to the driver and are all that is broadcast.
 
 Null and empty text: score from zero evidence. Null labels and null ids' labels are not
 learnt from, nor labels other than 0 and 1; a document with several labels counts as toxic
@@ -25,6 +28,8 @@ results; a column of the operator's name is replaced.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,25 +40,30 @@ from snapledger.llm.common import held_out, join_checked, map_batches, sample_sh
 from snapledger.llm.fit import logistic
 
 SLOT_BITS = 22
+CONTEXT_BITS = 20
 CHANCE = 1.5
 MARGIN = 1.0
 CALIBRATE = 4000
 THRESHOLD = 0.3
 
 
+def _before(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The hash of the word before each word, 0 for a text's first."""
+    before = np.roll(h, 1)
+    before[of[:-1][np.diff(of) > 0]] = 0
+    return before
+
+
 def _pairs(batches):
-    """Distinct (word slot, word before, class) in each run of texts, packed into a long."""
+    """(word slot, word before, class), packed into a long, with their number in each run of texts."""
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint64)
-        found = []
-        for i, j, data, off in tb.slices(batch.column("text")):
+        for i, j, data, off in tb.slices(batch.column("text"), 4 * tb.SLICE_BYTES):
             h, of = tb.word_hashes(data, off)
-            before = np.roll(h, 1)
-            before[of[:-1][np.diff(of) > 0]] = 0
+            before = _before(h, of)
             packed = (h >> tb.U64(64 - SLOT_BITS)) << tb.U64(64 - SLOT_BITS) | (before >> tb.U64(SLOT_BITS + 1)) << tb.U64(1) | label[i:j][tb.rows_of(of)]
-            found.append(np.unique(packed))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["pair"])
+            pair, n = np.unique(packed, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], ["pair", "n"])
 
 
 def discounted(count):
@@ -68,60 +78,106 @@ def probabilities(count: np.ndarray, total: float, left: float, shared: np.ndarr
     return discounted(count) / total + (total - left) / total * shared
 
 
-def learn(labelled: DataFrame) -> np.ndarray | None:
-    """log P(word | 1) - log P(word | 0) by slot, from ``labelled`` (text, label 0/1); None without both classes."""
-    slot = F.shiftrightunsigned("pair", 64 - SLOT_BITS).cast("int").alias("slot")
-    pairs = map_batches(labelled.select("text", "label"), _pairs, "pair long").distinct()
-    counts = pairs.groupBy(slot).agg(F.sum(F.col("pair").bitwiseAND(F.lit(1))).alias("one"), F.count(F.lit(1)).alias("both"))
-    counts = counts.select("slot", F.col("one").cast("double"), (F.col("both") - F.col("one")).cast("double").alias("zero")).persist()
+@dataclass
+class Model:
+    """Both classes' models; ``model[slot]`` is log P(word | 1) - log P(word | 0) of the lower orders.
+
+    ``log0`` is the lower order's log P(word | 0); of class 0 and 1, ``root`` has the square
+    root of a pair's discounted count by the pair's slot, ``per`` one by the number of words
+    after a context and ``left`` the share of them that discounts free, both by its slot.
+    """
+
+    ratio: np.ndarray
+    log0: np.ndarray
+    root: list
+    per: list
+    left: list
+
+    def __getitem__(self, slot):
+        return self.ratio[slot]
+
+    def bigram(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(word | word before, 1) - log P(word | word before, 0) of words given by their hashes."""
+        word = (h >> tb.U64(64 - SLOT_BITS)).astype(np.int64)
+        pair = word ^ (before >> tb.U64(SLOT_BITS + 1)).astype(np.int64) & (1 << SLOT_BITS) - 1
+        context = (before >> tb.U64(64 - CONTEXT_BITS)).astype(np.int64)
+        low = np.exp(self.log0[word].astype(np.float32))
+        p0, p1 = (self.root[k][pair].astype(np.float32) ** 2 * self.per[k][context] + self.left[k][context] * q for k, q in ((0, low), (1, low * np.exp(self.ratio[word]))))
+        return np.log(p1) - np.log(p0)
+
+
+def learn(labelled: DataFrame) -> Model | None:
+    """The models of ``labelled`` (text, label 0/1); None without both classes."""
+    one = F.col("pair").bitwiseAND(F.lit(1)) == 1
+    n, kept = F.col("n").cast("double"), discounted(F.col("n").cast("double"))
+    sides = lambda x: [F.sum(F.when(side, x).otherwise(0.0)).cast("float") for side in (one, ~one)]
+    word = F.shiftrightunsigned("pair", 64 - SLOT_BITS)
+    before = F.shiftrightunsigned("pair", 1)
+    pairs = map_batches(labelled.select("text", "label"), _pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).persist()
     try:
-        one, zero, slots, left1, left0 = counts.agg(F.sum("one"), F.sum("zero"), F.count(F.lit(1)), F.sum(discounted(F.col("one"))), F.sum(discounted(F.col("zero")))).first()
-        if not one or not zero:
+        words = pairs.groupBy(word.cast("int").alias("slot")).agg(*sides(F.lit(1.0))).toDF("slot", "one", "zero").toArrow()
+        n1, n0 = (words[c].to_numpy().astype(float) for c in ("one", "zero"))
+        if not n1.any() or not n0.any():
             return None
-        kept = counts.filter((discounted(F.col("one")) > 0) | (discounted(F.col("zero")) > 0)).toArrow()
+        slot = word.bitwiseXOR(before.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)))
+        tops = pairs.filter(kept > 0).groupBy(slot.cast("int").alias("slot")).agg(*sides(kept)).toDF("slot", "one", "zero").toArrow()
+        context = F.shiftrightunsigned("pair", 1 + 63 - SLOT_BITS - CONTEXT_BITS).bitwiseAND(F.lit((1 << CONTEXT_BITS) - 1))
+        after = pairs.groupBy(context.cast("int").alias("slot")).agg(*sides(n), *sides(kept)).toDF("slot", "one", "zero", "kept_one", "kept_zero").toArrow()
     finally:
-        counts.unpersist()
-    n1, n0 = kept["one"].to_numpy(), kept["zero"].to_numpy()
-    shared = (n1 + n0 + 0.5) / (one + zero + 0.5 * slots)
-    p1, p0 = probabilities(n1, one, left1, shared), probabilities(n0, zero, left0, shared)
+        pairs.unpersist()
+    one, zero, left1, left0 = n1.sum(), n0.sum(), discounted(n1).sum(), discounted(n0).sum()
+    total = one + zero + 0.5 * len(n1)
+    p1, p0 = (probabilities(c, n_, left, (n1 + n0 + 0.5) / total) for c, n_, left in ((n1, one, left1), (n0, zero, left0)))
     ratio = np.full(1 << SLOT_BITS, np.log((one - left1) / one) - np.log((zero - left0) / zero), np.float32)
-    ratio[kept["slot"].to_numpy()] = np.log(p1) - np.log(p0)
-    return ratio
-
-
-def evidence(column, ratio: np.ndarray) -> np.ndarray:
-    """A row for each text: the length-normalised log-likelihoods' difference, and the words' excess over it."""
-    out = np.zeros((len(column), 2))
+    log0 = np.full(1 << SLOT_BITS, np.log((zero - left0) / zero * 0.5 / total), np.float16)
+    at = words["slot"].to_numpy()
+    ratio[at], log0[at] = np.log(p1) - np.log(p0), np.log(p0)
+    model = Model(ratio, log0, [], [], [])
+    for side in ("zero", "one"):
+        root = np.zeros(1 << SLOT_BITS, np.float16)
+        root[tops["slot"].to_numpy()] = np.sqrt(tops[side].to_numpy())
+        count, some = after[side].to_numpy(), after["slot"].to_numpy()[after[side].to_numpy() > 0]
+        per, left = np.zeros(1 << CONTEXT_BITS, np.float32), np.ones(1 << CONTEXT_BITS, np.float32)
+        per[some] = 1 / count[count > 0]
+        left[some] = 1 - (after[f"kept_{side}"].to_numpy() / np.maximum(count, 1))[count > 0]
+        model.root.append(root), model.per.append(per), model.left.append(left)
+    return model
+
+
+def evidence(column, model: Model) -> np.ndarray:
+    """A row for each text: the lower orders' length-normalised log-likelihoods' difference, the words' excess over it, and the bigram models' difference."""
+    out = np.zeros((len(column), 3))
     for i, j, data, off in tb.slices(column):
         h, of = tb.word_hashes(data, off)
         row, n = tb.rows_of(of), j - i
-        r = ratio[(h >> tb.U64(64 - SLOT_BITS)).astype(np.int64)].astype(float)
-        mean = np.bincount(row, r, n) / np.maximum(np.diff(of), 1)
+        r = model.ratio[(h >> tb.U64(64 - SLOT_BITS)).astype(np.int64)].astype(float)
+        length = np.maximum(np.diff(of), 1)
+        mean, both = np.bincount(row, r, n) / length, np.bincount(row, model.bigram(h, _before(h, of)), n) / length
         excess = np.bincount(row, np.maximum(r - mean[row] - MARGIN, 0), n)
-        out[i:j] = np.stack([np.clip(mean, -3, 3), np.minimum(excess, 12.0)], axis=1)
+        out[i:j] = np.stack([np.clip(mean, -3, 3), np.minimum(excess, 12.0), np.clip(both, -3, 3)], axis=1)
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
-    """A scorer (ratio by slot, logistic weights) from the rows of ``docs`` that are labelled and not held out."""
+    """A scorer (model, logistic weights) from the rows of ``docs`` that are labelled and not held out."""
     marks = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
     labelled = join_checked(texts, marks, "doc_id", "inner")
-    ratio = learn(labelled)
+    model = learn(labelled)
     counted = {r[0]: r[1] for r in join_checked(texts.select("doc_id"), marks, "doc_id", "inner").groupBy("label").count().collect()}
-    if ratio is None:
+    if model is None:
         return None, np.array([counted.get(1, 0) / max(1, sum(counted.values()))])
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches):
         for batch in batches:
             x = evidence(batch.column("text"), held.value)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("label"), batch.column("n")], ["mean", "excess", "label", "n"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("label"), batch.column("n")], ["mean", "excess", "both", "label", "n"])
 
     size = F.when(F.col("label") == 1, counted[1]).otherwise(counted[0])
     some = labelled.filter(sample_share(CALIBRATE, size, F.col("text"))).groupBy("text", "label").agg(F.count(F.lit(1)).alias("n"))
-    some = map_batches(some, features, "mean double, excess double, label int, n long").toArrow()
-    x = np.stack([some["mean"].to_numpy(), some["excess"].to_numpy()], axis=1)
+    some = map_batches(some, features, "mean double, excess double, both double, label int, n long").toArrow()
+    x = np.stack([some[c].to_numpy() for c in ("mean", "excess", "both")], axis=1)
     y, n = some["label"].to_numpy().astype(float), some["n"].to_numpy()
     weight = n * np.where(y == 1, max(1, counted[1] / CALIBRATE), max(1, counted[0] / CALIBRATE))
     return held, logistic(x, y, weight)

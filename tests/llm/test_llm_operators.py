@@ -530,6 +530,54 @@ def test_toxicity_probabilities(spark):
         assert abs(ratio[int(h[0] >> np.uint64(64 - toxicity.SLOT_BITS))] - np.log(p1[w] / p0[w])) < 1e-6, w
 
 
+def test_toxicity_bigram_probabilities(spark):
+    rows = [("a b c a b d a b a b c", 1), ("a b c x a b c a", 1), ("a b c a b d", 0), ("x y z x y w x y z x y", 0), ("y a z y a z y a y a b", 0), ("q a q b q c q d", 0), ("r a s a t a u a b a b", 1)]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    words = sorted({w for t, _ in rows for w in t.split()})
+    pairs, before = collections.Counter(), collections.defaultdict(set)
+    for t, label in rows:
+        for last, w in zip(["", *t.split()], t.split(), strict=False):
+            pairs[last, w, label] += 1
+            before[w, label].add(last)
+    left = lambda c: max(0.0, c - toxicity.CHANCE * c**0.5)
+    low = {}
+    for label in (0, 1):
+        c, every = {w: len(before[w, label]) for w in words}, {w: len(before[w, 0]) + len(before[w, 1]) + 0.5 for w in words}
+        n = sum(c.values())
+        for w in words:
+            low[w, label] = left(c[w]) / n + (n - sum(map(left, c.values()))) / n * every[w] / sum(every.values())
+
+    def plain(last, label):
+        c = {w: pairs[last, w, label] for w in words}
+        n = sum(c.values())
+        return {w: (left(c[w]) + (n - sum(map(left, c.values()))) * low[w, label]) / n if n else low[w, label] for w in words}
+
+    h = {w: toxicity.tb.word_hashes(*toxicity.tb.flat(pa.array([w])))[0][0] for w in words} | {"": np.uint64(0)}
+    apart = 0
+    for last in ["", *words]:
+        p0, p1 = plain(last, 0), plain(last, 1)
+        assert abs(sum(p0.values()) - 1) < 1e-12 and abs(sum(p1.values()) - 1) < 1e-12
+        got = model.bigram(np.array([h[w] for w in words]), np.full(len(words), h[last]))
+        want = np.array([np.log(p1[w] / p0[w]) for w in words])
+        assert np.abs(got - want).max() < 0.01, last
+        apart = max(apart, np.abs(want - np.array([np.log(low[w, 1] / low[w, 0]) for w in words])).max())
+    assert apart > 1
+
+
+def test_toxicity_hears_which_word_follows(spark):
+    # the same words in both classes, each after the same words: only how often each follows which differs
+    rng = random.Random(16)
+    texts, marks = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        usual, rare = (("red cat", "blue dog"), ("red dog", "blue cat"))[:: 1 if toxic else -1]
+        texts.append(" ".join(" ".join((prose(rng, 2), rng.choice(usual if rng.random() < 0.9 else rare))) for _ in range(12)))
+        marks.append((i, int(toxic)))
+    d = docs(spark, texts)
+    out = toxicity.score(d, toxicity.fit(d, spark.createDataFrame(marks, "doc_id long, toxic int"))).toPandas().set_index("doc_id")
+    assert np.mean([(out["toxicity"][i] >= 0.3) == y for i, y in marks if held(i)]) > 0.95
+
+
 def test_order_minhash_equals_plain(spark):
     rng = random.Random(23)
     texts = ["a b c a b c a b c d", prose(rng, 300), prose(rng, 40), "one two", "one", "", "x y z", "a b c " * 30]
